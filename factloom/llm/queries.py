@@ -5,10 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import contamination, shared_spans
+from factloom.llm import contamination, packing, shared_spans
 from factloom.session import table
 
 
+#: Tokens in a container.
+CAPACITY = 1024
+
+
+def p6_packing(spark: SparkSession, d: str) -> DataFrame:
+    """The container of each text or piece."""
+    out = packing.pack_texts(table(spark, d, "documents"), id="doc_id", text="text", capacity=CAPACITY)
+    return out.select(F.col("doc").alias("doc_id"), "piece", "first_token", F.col("size").alias("n_tokens"), "bin_id")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """The documents that were split: those of more tokens than a container holds."""
+    return p6_packing(spark, d).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Containers used, the least possible number, and the mean fill."""
+    used = p6_packing(spark, d).where("bin_id is not null").agg(F.countDistinct("bin_id").alias("n_bins"), F.sum("n_tokens").alias("n_tokens"))
+    return used.select("n_bins", "n_tokens", F.ceil(F.col("n_tokens") / CAPACITY).alias("least_bins"), F.round(F.col("n_tokens") / (F.col("n_bins") * CAPACITY), 6).alias("fill"))
+
+
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
     return contamination.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), id="doc_id", text="text", item="item_id", item_text="text")
 
@@ -45,5 +66,5 @@ def p8_coverage(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("share", F.when(F.col("n_chars") > 0, F.col("shared_chars") / F.col("n_chars")).otherwise(F.lit(0.0)))
 
 
-QUERIES = {f.__name__: f for f in (p7_found, p7_longest, p7_clean_documents, p8_found, p8_coverage)}
+QUERIES = {f.__name__: f for f in (p6_found, p6_packing, p6_fill, p7_found, p7_longest, p7_clean_documents, p8_found, p8_coverage)}
 SQL: dict[str, str] = {}
