@@ -15,28 +15,20 @@ from pyspark.sql import functions as F
 
 
 @lru_cache(maxsize=1)
-def _extra() -> tuple[str, str, dict[str, str]]:
-    """Characters (in lower case) that folding still changes: to one character, and to several."""
-    one: dict[str, str] = {}
-    many: dict[str, str] = {}
-    for code in range(0x80, 0x20000):
-        if 0xD800 <= code < 0xE000:
-            continue
-        c = chr(code)
-        if c.lower() == c and c.casefold() != c:
-            (one if len(c.casefold()) == 1 else many)[c] = c.casefold()
-    return "".join(one), "".join(one.values()), many
+def _extra() -> dict[str, str]:
+    """Characters, in lower case, that folding still changes, and to what."""
+    points = (chr(code) for code in range(0x80, 0x20000) if not 0xD800 <= code < 0xE000)
+    return {c: c.casefold() for c in points if c.lower() == c and c.casefold() != c}
 
 
 def casefold(col: Column | str) -> Column:
     """`str.casefold` of a string column; null for null."""
     col = F.col(col) if isinstance(col, str) else col
-    single, to, many = _extra()
-    low = F.lower(col)
-    folded = F.translate(low, single, to)
-    for c, text in many.items():
-        folded = F.replace(folded, F.lit(c), F.lit(text))
-    return F.when(col.rlike(r"^[\x00-\x7f]*$"), low).otherwise(F.when(low.rlike("[" + single + "".join(many) + "]"), folded).otherwise(low))
+    low, extra = F.lower(col), _extra()
+    # One map literal, looked up character by character, and only in texts that need it.
+    table = F.map_from_arrays(F.split(F.lit("\n".join(extra)), "\n"), F.split(F.lit("\n".join(extra.values())), "\n"))
+    folded = F.array_join(F.transform(F.split(low, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    return F.when(col.rlike(r"^[\x00-\x7f]*$"), low).when(low.rlike("[" + "".join(extra) + "]"), folded).otherwise(low)
 
 
 def ascii_lower(col: Column | str) -> Column:

@@ -168,6 +168,8 @@ def _budget_message(kind: str) -> str:
 
 
 def _resolve(view: View, anchor: str, kind: str, limit: int) -> tuple[str | None, RelationResult | None]:
+    if view.facts.where((F.col("object_id") == anchor) & (F.col("kind") == kind)).limit(1).count():  # the first tier, by a pushed-down filter
+        return anchor, None
     rows = [r.asDict() for r in anchor_candidates(view.facts, anchor, kind).select("object_id", "object_name", "object_source", "tier", "exact_name").limit(max(limit, 2)).collect()]
     if not rows:
         return None, RelationResult("not_found", complete=False, message=f"No {kind} matches `{anchor}`.")

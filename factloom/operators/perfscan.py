@@ -29,6 +29,22 @@ def scan_sources(files: DataFrame) -> DataFrame:
     return files.select("path", "text").mapInPandas(_scan, FINDINGS)
 
 
+def source_shape(files: DataFrame) -> DataFrame:
+    """(path, n_loops, max_depth, n_functions, n_guarded, n_tests) of files (path, text)."""
+
+    def run(batches):
+        for df in batches:
+            rows = []
+            for p, t in zip(df["path"], df["text"]):
+                if t is not None:
+                    plain = csource.blanked(t)
+                    loops = csource.find_loops(plain)
+                    rows.append((p, len(loops), max([0, *(x.depth + 1 for x in loops)]), len(csource.find_functions(plain)), len(csource.guards(t)), len(csource.declared_tests(t))))
+            yield pd.DataFrame(rows, columns=["path", "n_loops", "max_depth", "n_functions", "n_guarded", "n_tests"])
+
+    return files.select("path", "text").mapInPandas(run, "path string, n_loops int, max_depth int, n_functions int, n_guarded int, n_tests int")
+
+
 def severity_rank(c: Column) -> Column:
     return lookup({s: i for i, s in enumerate(csource.SEVERITIES)}, c, 1)
 

@@ -81,12 +81,12 @@ def coverage(declared: DataFrame, built: DataFrame) -> DataFrame:
 def guidance(tests: DataFrame, known: DataFrame, most: int = 4) -> DataFrame:
     """Per run the first failed tests that are known (suite, name, file, fact_id), at most `most`."""
     failed = tests.where("status = 'failed'").join(known.dropDuplicates(["suite", "name"]), ["suite", "name"])
-    return failed.withColumn("place", F.row_number().over(Window.partitionBy("run_id").orderBy("pos"))).where(F.col("place") <= most)
+    return failed.withColumn("place", F.row_number().over(Window.partitionBy("run_id").orderBy("pos", "suite", "name"))).where(F.col("place") <= most)
 
 
 def report(events: DataFrame, runs: DataFrame) -> DataFrame:
     """(event_pos, task_id, run_id, overall, state): journal events with the run they name; the task comes from the event, else from the run."""
-    filled = lambda c: F.nullif(F.col(c), F.lit(""))
+    filled = lambda c: F.nullif(F.col(c).cast("string"), F.lit(""))
     named = events.where(filled("run_id").isNotNull())
     last = runs.select("run_id", F.col("task_id").alias("run_task"), "overall", "state")
     return named.join(last, "run_id").select("event_pos", F.coalesce(filled("task"), filled("task_id"), F.col("run_task")).alias("task_id"), "run_id", "overall", "state")

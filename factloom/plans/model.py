@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.fold import casefold
 from factloom.functions.paths import source_file
+from factloom.scratch import stage
 from factloom.session import table
 
 # They must equal those of the stores that are read.
@@ -78,6 +79,10 @@ class View:
     facts: DataFrame
     relatives: DataFrame
 
+    def staged(self) -> View:
+        """The view written to the shared folder, for several queries over it."""
+        return View(stage(self.facts, "facts"), stage(self.relatives, "relatives"))
+
     def connected(self) -> DataFrame:
         """Relatives with both ends visible."""
         ids = self.facts.select("object_id")

@@ -23,6 +23,8 @@ from factloom.plans.model import FACT_COLUMNS, RELATIVE_COLUMNS, View, promote
 
 SCHEMA_VERSION = 1
 KEYS = {"facts": "object_id", "relatives": "relative_id", "source_inventory": "source_id"}
+#: The columns that a table's digest covers, where it has derived ones.
+OWN = {"facts": FACT_COLUMNS}
 
 
 class StoreError(ValueError):
@@ -101,7 +103,7 @@ class Store:
     def publish(self, facts: DataFrame, relatives: DataFrame, inventory: DataFrame | None = None, *, check: bool = True) -> dict:
         """Publishes a snapshot and points to it; content that is there already is only pointed to (`reused`)."""
         inventory = inventory if inventory is not None else self.spark.createDataFrame([], "source_id string, rel_path string")
-        facts = facts.select(*FACT_COLUMNS).withColumn("payload", canonical_json(F.col("payload")))
+        facts = promote(facts.select(*FACT_COLUMNS).withColumn("payload", canonical_json(F.col("payload"))))  # search columns are made here, once
         relatives = relatives.select(*RELATIVE_COLUMNS).withColumn("payload", canonical_json(F.col("payload")))
         tables = {"facts": facts, "relatives": relatives, "source_inventory": inventory}
         staging = f"staging-{uuid.uuid4().hex}"
@@ -116,7 +118,7 @@ class Store:
                 self._check(stored)
             by_to = stored["relatives"].repartitionByRange("to_fact_id", "relative_id").sortWithinPartitions("to_fact_id", "relation_kind")
             by_to.write.parquet(posixpath.join(self.root, staging, "relatives_by_to"))
-            digests = {f"{n}_sha256": table_digest(df, KEYS[n]) for n, df in stored.items()}
+            digests = {f"{n}_sha256": table_digest(df.select(*OWN.get(n, df.columns)), KEYS[n]) for n, df in stored.items()}
             import hashlib
 
             sid = "sha256-" + hashlib.sha256("\n".join(digests.values()).encode()).hexdigest()[:16]
@@ -166,13 +168,14 @@ class Store:
 
     def view(self, sid: str | None = None) -> View:
         relatives = self.table("relatives", sid).withColumn("source_id", F.nullif(F.get_json_object("payload", "$.source_id"), F.lit("")))
-        return View(promote(self.table("facts", sid)), relatives)
+        return View(self.table("facts", sid), relatives)
 
     def verify(self, sid: str | None = None) -> None:
         """Raises if the tables don't fit the digests of the manifest."""
         m = self.manifest(sid)
         for name, key in KEYS.items():
-            if table_digest(self.table(name, m["snapshot_id"]), key) != m[f"{name}_sha256"]:
+            df = self.table(name, m["snapshot_id"])
+            if table_digest(df.select(*OWN.get(name, df.columns)), key) != m[f"{name}_sha256"]:
                 raise StoreError("snapshot_corrupt", name)
 
     def snapshots(self) -> list[dict]:
