@@ -120,23 +120,33 @@ def _finish(df: pd.DataFrame) -> pd.DataFrame:
 def rank_arcs(arcs: DataFrame, core_rows: int) -> DataFrame:
     """List ranking of (a, nxt, w, l): sums of w and l from each arc to its end, as (a, w, l).
 
-    Random mate: an arc whose coin shows 1 and whose predecessor's shows 0 is
-    taken out and its sums go to the predecessor; about a quarter goes per
-    round. Taken-out arcs come back in reverse order.
+    Each round the last arcs of all lists are finished and the arcs before them
+    become the last, so that many short lists melt away. Then random mate: an
+    arc whose coin shows 1 and whose predecessor's shows 0 is taken out and its
+    sums go to the predecessor; about a quarter goes. Taken-out arcs come back
+    in reverse order.
     """
-    rounds, k = [], 0
+    rounds, finished, k = [], None, 0
     while arcs.count() > core_rows:
+        ends = arcs.where("nxt is null").select("a", "w", "l")
+        finished = ends if finished is None else finished.unionByName(ends)
+        last = ends.select(F.col("a").alias("nxt"), F.col("w").alias("w2"), F.col("l").alias("l2"))
+        cut = arcs.where("nxt is not null").join(last, "nxt", "left")
+        live = stage(cut.select("a", F.expr("if(w2 is null, nxt, null)").alias("nxt"), F.expr("w + coalesce(w2, 0)").alias("w"), F.expr("l + coalesce(l2, 0)").alias("l")), "live")
+
         coin = lambda c, k=k: F.xxhash64(c, F.lit(k)).bitwiseAND(F.lit(1))
-        out = arcs.where(coin(F.col("a")) == 1).select(F.col("a").alias("nxt"), F.col("nxt").alias("n2"), F.col("w").alias("w2"), F.col("l").alias("l2"))
-        joined = stage(arcs.join(out, "nxt", "left").select("a", "nxt", "w", "l", "n2", "w2", "l2", ((coin(F.col("a")) == 0) & F.col("w2").isNotNull()).alias("jump")), "mates")
-        gone = stage(joined.where("jump").select(F.col("nxt").alias("a")), "gone")
-        rounds.append(stage(arcs.join(gone, "a"), "out"))
+        out = live.where(coin(F.col("a")) == 1).select(F.col("a").alias("nxt"), F.col("nxt").alias("n2"), F.col("w").alias("w2"), F.col("l").alias("l2"))
+        jump = (coin(F.col("a")) == 0) & F.col("w2").isNotNull()
+        joined = stage(live.join(out, "nxt", "left").select("a", "nxt", "w", "l", "n2", "w2", "l2", jump.alias("jump")), "mates")
+        gone = joined.where("jump").select(F.col("nxt").alias("a"))
+        rounds.append(stage(live.join(gone, "a"), "out"))
         arcs = stage(
             joined.join(gone, "a", "left_anti").select("a", F.expr("if(jump, n2, nxt)").alias("nxt"), F.expr("if(jump, w + w2, w)").alias("w"), F.expr("if(jump, l + l2, l)").alias("l")), "arcs"
         )
-        drop_staged(joined, gone)
+        drop_staged(joined, live)
         k += 1
-    ranked = stage(arcs.groupBy(F.lit("all").alias("_all")).applyInPandas(_rank_rest, "a bigint, w bigint, l bigint"), "ranked")  # at most core_rows
+    ranked = arcs.groupBy(F.lit("all").alias("_all")).applyInPandas(_rank_rest, "a bigint, w bigint, l bigint")  # at most core_rows
+    ranked = stage(ranked if finished is None else ranked.unionByName(finished), "ranked")
     for out in reversed(rounds):
         back = out.join(ranked.select(F.col("a").alias("nxt"), F.col("w").alias("w2"), F.col("l").alias("l2")), "nxt", "left")
         ranked = stage(ranked.unionByName(back.select("a", F.expr("w + coalesce(w2, 0)").alias("w"), F.expr("l + coalesce(l2, 0)").alias("l"))), "ranked")
@@ -207,27 +217,27 @@ def build_hierarchy(links: DataFrame, *, parent: str, child: str, core_rows: int
     edges = skew_join(pairs, to_parent, "pid", ["cid"], hot_keys(pairs, "pid")).join(ids.select(F.col("id").alias("cid"), "v"), "cid").select("v", "p")
     alive = stage(ids.select("v").join(edges, "v", "left").withColumn("own", F.lit(1).cast("bigint")), "alive")  # v, p, own = 1 + nodes peeled below
 
-    peeled = []
+    peeled, done = [], None
     n = ids.count()
     while n > core_rows:
         inner = alive.where("p is not null").select(F.col("p").alias("v")).distinct()
-        # A root without children is a tree of its own and stays.
-        leaves = alive.where("p is not null").join(inner, "v", "left_anti")
-        # Each leaf's place among its siblings' sizes; a parent with very many leaves is cut into parts first.
-        leaves = stage(placed(leaves), "leaves")
+        childless = alive.join(inner, "v", "left_anti")
+        # A root left without children is finished; any other node without children is a leaf.
+        alone = childless.where("p is null").select("v", F.col("v").alias("root"), *(F.lit(0).cast("bigint").alias(c) for c in ("depth", "entry")), F.col("own").alias("size"))
+        done = alone if done is None else done.unionByName(alone)
+        leaves = stage(placed(childless.where("p is not null")), "leaves")
         gained = leaves.groupBy(F.col("p").alias("v")).agg(F.sum("own").alias("more"))
-        rest = stage(alive.join(leaves.select("v"), "v", "left_anti").join(gained, "v", "left").select("v", "p", (F.col("own") + F.coalesce("more", F.lit(0))).alias("own"), F.col("own").alias("before")), "rest")
+        rest = stage(alive.join(inner, "v", "left_semi").join(gained, "v", "left").select("v", "p", (F.col("own") + F.coalesce("more", F.lit(0))).alias("own"), F.col("own").alias("before")), "rest")
         # Leaves of this round come after what the parent had gained before.
-        m = rest.count()
         starts = rest.select(F.col("v").alias("p"), F.col("before").alias("base"))
         peeled.append(spread_join(leaves, starts, "p", ["v"]).select("v", "p", (F.col("at") + F.col("base")).alias("at"), F.col("own").alias("size")))
-        alive = rest.drop("before")
-        if n - m < 0.05 * n:  # tall rather than bushy: peeling on would take a round per level
-            n = m
-            break
+        alive, m = rest.drop("before"), rest.count()
+        tall = n - m < 0.05 * n  # peeling on would take a round per level
         n = m
+        if tall:
+            break
     core = alive.groupBy(F.lit("all").alias("_all")).applyInPandas(_finish, NODES) if n <= core_rows else tour_large(alive, core_rows)
-    done = stage(core, "core")
+    done = stage(core if done is None else core.unionByName(done), "core")
     for leaves in reversed(peeled):
         above = done.select(F.col("v").alias("p"), F.col("root"), F.col("depth").alias("d"), F.col("entry").alias("e"))
         off = F.col("d") < 0

@@ -285,6 +285,18 @@ def test_hierarchy(spark, seed, core):
         assert {r["id"] for r in hierarchy.descendants_of(tree, roots).collect()} == {b for b in on if want[b][2][0] == "n0" and b != "n0"}
 
 
+def test_many_small_trees_and_a_tiny_core(spark):
+    links = [("r%d" % k, "c%d" % k) for k in range(8)] + [("c%d" % k, "d%d" % k) for k in range(4)] + [("x", "y"), ("y", "x"), ("y", "z")]
+    tree = hierarchy.build_hierarchy(spark.createDataFrame(links, "p string, c string"), parent="p", child="c", core_rows=2)
+    assert {r["id"]: (r["root_id"], r["depth"]) for r in tree.collect()} == {k: v[:2] for k, v in brute_tree(links).items()}
+
+
+def test_ranking_more_lists_than_fit(spark):
+    arcs = [(10 * k + j, 10 * k + j + 1 if j < 3 else None, 1, j) for k in range(6) for j in range(4)]
+    out = hierarchy.rank_arcs(spark.createDataFrame(arcs, "a long, nxt long, w long, l long"), 3)
+    assert rows(out, "a", "w", "l") == sorted(((10 * k + j, 4 - j, sum(range(j, 4))) for k in range(6) for j in range(4)), key=repr)
+
+
 def test_hierarchy_wide_and_empty(spark):
     wide = spark.range(300).select(F.lit("top").alias("p"), F.concat(F.lit("c"), F.col("id").cast("string")).alias("c"))
     tree = hierarchy.build_hierarchy(wide, parent="p", child="c", core_rows=200)
