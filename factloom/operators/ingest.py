@@ -66,7 +66,7 @@ def merge_spool(df: DataFrame, key: str, payload: str, seq: str) -> DataFrame:
 
     def widest(pdf: pd.DataFrame) -> pd.DataFrame:
         best, clash = None, False
-        for text in sorted(pdf["p"], key=len, reverse=True):
+        for text in sorted(pdf["p"], key=lambda t: (-len(t), t)):
             value = json.loads(text)
             clash |= best is not None and not is_subset(value, best[1])
             best = best or (text, value)
