@@ -67,11 +67,11 @@ def parts(spark: SparkSession) -> int:
 
 def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> list:
     """Non-null values of `key` that hold more than `share` of the rows: at most 1/share of them."""
-    total = df.count()
-    if not total:
+    counted = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    whole = counted.agg(F.sum("n").alias("total"), F.max(F.when(F.col(key).isNotNull(), F.col("n"))).alias("most")).first()
+    if not whole["most"] or whole["most"] <= share * whole["total"]:
         return []
-    counted = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    return [r[0] for r in counted.where(F.col("n") > share * total).select(key).collect()]
+    return [r[0] for r in counted.where(F.col(key).isNotNull() & (F.col("n") > share * whole["total"])).select(key).collect()]
 
 
 def skew_join(left: DataFrame, right: DataFrame, key: str, spread: list[str], hot: list, how: str = "inner") -> DataFrame:
