@@ -116,7 +116,8 @@ def call_edges(view: View) -> DataFrame:
     A dispatch runs from its source to every fact assigned to the slot; the edge
     shown is the dispatch. Slots with many dispatches or assignments are spread.
     """
-    edges = view.connected()
+    used = view.relatives.where(F.col("relation_kind").isin("direct_call", "assigned_to", "dispatches_via"))
+    edges = stage(View(view.facts, used).connected(), "call_relatives")
     direct = edges.where("relation_kind = 'direct_call'").withColumns({"from_id": F.col("from_fact_id"), "to_id": F.col("to_fact_id")})
     assigned = edges.where("relation_kind = 'assigned_to'").select(F.col("from_fact_id").alias("slot"), F.col("to_fact_id").alias("to_id")).distinct()
     dispatch = edges.where("relation_kind = 'dispatches_via'").withColumn("slot", F.col("to_fact_id")).withColumn("from_id", F.col("from_fact_id"))
@@ -132,7 +133,7 @@ def closure(view_calls: DataFrame, anchor_id: str, direction: str, depth: int) -
     for hop in range(1, depth + 1):
         step = view_calls.withColumn("id", F.col(near)).join(frontier, "id").drop("id").withColumn("endpoint_id", F.col(far))
         step = stage(step.join(visited.withColumnRenamed("id", "endpoint_id"), "endpoint_id", "left_anti").drop("from_id", "to_id").withColumn("hop", F.lit(hop)), "hop")
-        frontier = stage(step.select(F.col("endpoint_id").alias("id")).distinct(), "frontier")
+        frontier = step.select(F.col("endpoint_id").alias("id")).distinct()
         visited = visited.unionByName(frontier)
         met = step if met is None else met.unionByName(step)
     return met

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from factloom.functions.canonical import canonical, canonical_json
 from factloom.functions.jsonops import is_subset
 from factloom.plans.model import View
-from factloom.scratch import spread_join
+from factloom.scratch import hot_keys, skew_join, spread_join
 
 
 class MergeConflict(ValueError):
@@ -111,7 +111,8 @@ def resolve_calls(calls: DataFrame, functions: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("linkage") == "internal").alias("n_int"), F.min("object_id").alias("any_id"), F.min(F.when(~F.coalesce(F.col("linkage") == "internal", F.lit(False)), F.col("object_id"))).alias("ext_id")
     )
     by_name = per.groupBy("object_name").agg(F.sum("n").alias("n_all"), F.sum("n_int").alias("int_all"), F.min("ext_id").alias("ext_id_all"), F.min("any_id").alias("any_id_all"))
-    asked = spread_join(asked.withColumn("object_name", F.col("callee_name")), by_name, "object_name", ["call_id"], "left")
+    hot = hot_keys(calls, "callee_name")
+    asked = skew_join(asked.withColumn("object_name", F.col("callee_name")), by_name, "object_name", ["call_id"], hot, "left")
     exact = per.select(F.col("object_name").alias("callee_name"), F.col("canonical_source").alias("referenced_source"), F.col("n").alias("n_ref"), F.col("n_int").alias("int_ref"), F.col("any_id").alias("any_ref"), F.col("ext_id").alias("ext_ref"))
     internal = functions.where("linkage = 'internal'").groupBy(F.col("object_name").alias("callee_name"), F.col("canonical_source").alias("caller_source")).agg(F.count(F.lit(1)).alias("int_own"), F.min("object_id").alias("int_own_id"))
     rows = asked.join(exact, ["callee_name", "referenced_source"], "left").join(internal, ["callee_name", "caller_source"], "left")

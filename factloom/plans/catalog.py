@@ -186,7 +186,7 @@ ce as (select *, from_fact_id as a, to_fact_id as b from vis where relation_kind
 @query(f"with {VIEW}, {CALLS} select relation_kind, a as from_id, b as to_id, count(*) as n_edges from ce group by all")
 def dispatch_targets(spark: SparkSession, d: str) -> DataFrame:
     """Call edges: direct ones, and dispatches joined with assignments."""
-    return graph.call_edges(base_view(spark, d)).groupBy("relation_kind", "from_id", "to_id").agg(F.count(F.lit(1)).alias("n_edges"))
+    return graph.call_edges(base_view(spark, d).staged()).groupBy("relation_kind", "from_id", "to_id").agg(F.count(F.lit(1)).alias("n_edges"))
 
 
 def _closure_sql(near: str, far: str, depth: int, anchor: str) -> str:
@@ -354,13 +354,13 @@ select c.call_id, case when not c.known then 'missing_caller' when n_left = 1 th
        case when c.known and n_left = 1 then target end as target_id, case when c.known and n_left = 1 then strategy end as strategy from c left join ok using (call_id)""")
 def call_resolution(spark: SparkSession, d: str) -> DataFrame:
     """Calls resolved by name: source first, then all; internal functions of other sources don't count."""
-    v = base_view(spark, d)
+    v = base_view(spark, d).staged()
     names = v.facts.select(F.col("object_id").alias("to_fact_id"), F.col("object_name").alias("callee_name"))
     calls = v.relatives.where("relation_kind = 'direct_call'").join(names, "to_fact_id").select(
         F.col("relative_id").alias("call_id"), F.col("from_fact_id").alias("caller_id"), "callee_name", F.regexp_replace("evidence_source", ":[0-9]+$", "").alias("referenced_source")
     )
     functions = v.facts.where("kind = 'function'").select("object_id", "object_name", F.col("source_path").alias("canonical_source"), "linkage")
-    return ingest.resolve_calls(calls, functions).select("call_id", "outcome", "target_id", "strategy")
+    return ingest.resolve_calls(stage(calls, "calls"), functions).select("call_id", "outcome", "target_id", "strategy")
 
 
 # --- censuses and includes -----------------------------------------------------------------------

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -81,7 +82,8 @@ class View:
 
     def staged(self) -> View:
         """The view written to the shared folder, for several queries over it."""
-        return View(stage(self.facts, "facts"), stage(self.relatives, "relatives"))
+        with ThreadPoolExecutor(2) as pool:  # two jobs side by side
+            return View(*pool.map(stage, (self.facts, self.relatives), ("facts", "relatives")))
 
     def connected(self) -> DataFrame:
         """Relatives with both ends visible."""
