@@ -76,6 +76,24 @@ def p2_changes_by_store(spark: SparkSession, d: str) -> DataFrame:
     return _diff(spark, d).groupBy(F.col("grp").alias("store_name"), F.col("snap").alias("snapshot_id"), "change").agg(F.count(F.lit(1)).alias("n_facts"))
 
 
+# Two payloads are equal as JSON values if the leaves of their trees are.
+_P2_DIFF = r"""
+with pub as (select store_name, snapshot_id, min(created_at) as published from storage_manifest where store_name is not null and snapshot_id is not null group by 1, 2),
+pairs as (select store_name, snapshot_id, lag(snapshot_id) over (partition by store_name order by published, snapshot_id) as prev from pub),
+texts as (select distinct payload from fact_snapshots where payload is not null),
+leaves as (select t.payload, j.fullkey, case when j.type in ('UBIGINT', 'BIGINT', 'DOUBLE') then 'n' || (j.atom::varchar)::double else j.type || coalesce(j.atom::varchar, '') end as v from texts t, json_tree(t.payload) j),
+canon as (select payload, string_agg(fullkey || '=' || v, chr(1) order by fullkey) as c from leaves group by 1),
+full_ as (select f.snapshot_id, f.object_id, arg_max(c.c, f.delivered_at) as c from fact_snapshots f left join canon c using (payload) where f.object_id is not null group by 1, 2),
+now_ as (select p.store_name, p.snapshot_id, f.object_id, f.c from pairs p join full_ f on f.snapshot_id = p.snapshot_id where p.prev is not null),
+was as (select p.store_name, p.snapshot_id, f.object_id, f.c from pairs p join full_ f on f.snapshot_id = p.prev),
+diff as (select coalesce(n.store_name, w.store_name) as store_name, coalesce(n.snapshot_id, w.snapshot_id) as snapshot_id, coalesce(n.object_id, w.object_id) as object_id,
+  case when w.object_id is null then 'added' when n.object_id is null then 'removed' when n.c is distinct from w.c then 'changed' end as change
+  from now_ n full join was w on n.store_name = w.store_name and n.snapshot_id = w.snapshot_id and n.object_id = w.object_id)
+"""
+P2_FOUND_SQL = _P2_DIFF + "select snapshot_id, object_id, change from diff where change is not null"
+P2_COUNT_SQL = _P2_DIFF + "select store_name, snapshot_id, change, count(*) as n_facts from diff where change is not null group by 1, 2, 3"
+
+
 # --- problem 3 -----------------------------------------------------------------------------------
 
 
@@ -178,6 +196,8 @@ QUERIES = {f.__name__: f for f in (p1_found, p1_orphans_by_period, p2_found, p2_
 SQL = {
     "p1_found": P1_FOUND_SQL,
     "p1_orphans_by_period": P1_COUNT_SQL,
+    "p2_found": P2_FOUND_SQL,
+    "p2_changes_by_store": P2_COUNT_SQL,
     "p3_found": P3_FOUND_SQL,
     "p3_term_frequency": P3_FREQ_SQL,
     "p4_found": P4_FOUND_SQL,

@@ -297,3 +297,39 @@ def test_streams_equal_their_batch_twins(spark, tmp_path):
     sink(df.where("seq < 3"), 0)
     sink(df.where("seq >= 3"), 1)
     assert ("p", "x", 4) in rows(spark.read.parquet(str(tmp_path / "sink/batch=1")))
+
+
+def test_small_operators(spark):
+    import datetime as dt
+
+    from factloom.operators import detail, search
+    from factloom.plans.query_lang import QueryError
+
+    recipes = spark.createDataFrame([("Unit", "runs", ["a.T"]), ("x", None, None), ("y", "N", ["UNITs"])], "id string, notes string, tests array<string>")
+    assert rows(search.recipe_search(recipes, "UNIT"), "id") == [("Unit",), ("y",)]
+    calls = spark.createDataFrame([("1", "m", "u", None), ("2", "m", "u", None)], "call_id string, caller_id string, callee_name string, referenced_source string")
+    fns = spark.createDataFrame([("m", "main", "a.c", "external"), ("t", "u", "b.c", "external")], "object_id string, object_name string, canonical_source string, linkage string")
+    edges = ingest.resolved_edges(ingest.resolve_calls(calls, fns), calls, "default")
+    assert rows(edges, "from_fact_id", "to_fact_id") == [("m", "t")] and edges.first()["relative_id"].startswith("rel:direct_call:")
+    rel = spark.createDataFrame([edge("a", "b", source="s1"), edge("b", "c", evidence="x.c:4"), edge("c", "d")], EDGE)
+    dirty = spark.createDataFrame([("s1", "q.c"), ("s2", "x.c")], "source_id string, rel_path string")
+    assert rows(census.edges_of_dirty(rel, dirty), "relative_id") == [("rel:a:b",), ("rel:b:c",)]
+    v = view(spark, [fact("a"), fact("b")], [edge("a", "b")])
+    assert [c["fact"]["object_id"] for c in detail.briefing(v, ["a", "b"], 9000)] == ["a", "b"]
+    for refs, most in ((["a", "zz"], 9000), (["a"] * 9, 9000), (["a"], 10)):
+        with pytest.raises(QueryError):
+            detail.briefing(v, refs, most)
+    memo = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "digest string, stored_at int")
+    assert rows(logs.newest(memo, "stored_at", 2), "digest") == [("b",), ("c",)] and rows(logs.newest(memo, "stored_at", 2, "a"), "digest") == [("a",), ("c",)]
+    inv = spark.createDataFrame([("1", "a"), ("2", "b")], "source_id string, rel_path string")
+    assert rows(ingest.merge_inventory(inv, spark.createDataFrame([("3", "a"), ("2", "z")], inv.schema))) == [("2", "z"), ("3", "a")]
+    ev = spark.createDataFrame([(dt.datetime(2024, 1, 1, h, m), k) for h, m, k in ((0, 1, "a"), (0, 59, "a"), (1, 0, "b"))], "ts timestamp, k string")
+    assert [r["n"] for r in feeds.windowed_counts(ev, "ts", "k").orderBy("start").collect()] == [2, 1]
+    assert feeds.once_per(ev, ["k"]).count() == 2
+    assert rows(ev.select(perfscan.normalized(F.col("k"), ["a"], "medium"))) == [("a",), ("a",), ("medium",)]
+    assert one(spark, paths.snippet(F.col("s"), F.lit(2)), s="x\n  y  \n") == "y" and one(spark, paths.source_line(F.col("s")), s="a/b:7") == 7 and one(spark, paths.source_line(F.col("s")), s="/a:7") is None
+    evidence = spark.createDataFrame([(3, True, None, 9), (0, None, None, None)], "result_count int, complete boolean, reachable boolean, total_results int")
+    ok = verdict.with_verdict(evidence, verdict.fact_clauses({"min_results": 1, "complete": True, "total_at_least": 9}))
+    assert rows(ok, "result_count", "ok") == [(0, False), (3, True)]
+    ends = spark.createDataFrame([(True, "x", 1, True), (None, "x", 0, False), (None, None, 0, None), (None, None, None, False), (None, None, None, None)], "v boolean, f string, e int, i boolean")
+    assert [r[0] for r in ends.select(verdict.passes(F.col("v"), F.col("f"), F.col("e"), F.col("i"))).collect()] == [True, False, True, True, False]
