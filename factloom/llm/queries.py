@@ -67,4 +67,34 @@ def p8_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p6_found, p6_packing, p6_fill, p7_found, p7_longest, p7_clean_documents, p8_found, p8_coverage)}
-SQL: dict[str, str] = {}
+# The pattern without look-ahead: a mark (U+E000) parts the last of several white spaces from the others.
+P6_FOUND_SQL = r"""
+with w as (select doc_id, regexp_replace(text, '([\t-\r\x{85}\p{Z}]+)([\t-\r\x{85}\p{Z}][^\t-\r\x{85}\p{Z}])', '\1' || chr(57344) || '\2', 'g') as t from documents)
+select doc_id from w where len(regexp_extract_all(t, '''s|''t|''re|''ve|''m|''ll|''d| ?\p{L}+| ?\p{N}+| ?[^\t-\r\x{85}\x{E000}\p{Z}\p{L}\p{N}]+|[\t-\r\x{85}\p{Z}]+')) > 1024
+"""
+
+# DuckDB knows NFC only; it differs from NFKC where a passage holds compatibility forms.
+P7_FOUND_SQL = r"""
+with dw as (select doc_id, regexp_extract_all(lower(nfc_normalize(text)), '[\p{L}\p{N}]+') as w from documents where text is not null),
+iw as (select item_id, regexp_extract_all(lower(nfc_normalize(text)), '[\p{L}\p{N}]+') as w from eval_items),
+dg as (select distinct doc_id, array_to_string(w[i:i+12], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 11)) as i from dw where len(w) >= 13)),
+ig as (select distinct item_id, array_to_string(w[i:i+12], ' ') as g from (select item_id, w, unnest(range(1, len(w) - 11)) as i from iw where len(w) >= 13))
+select distinct doc_id, item_id from dg join ig using (g)
+"""
+P7_CLEAN_SQL = f"with bad as ({P7_FOUND_SQL}) select doc_id, source, n_chars from documents where doc_id not in (select doc_id from bad)"
+
+P8_FOUND_SQL = r"""
+with t as (select doc_id, text from documents where length(text) >= 256),
+w as (select doc_id, i, hash(substring(text, i + 1, 256)) as h from (select doc_id, text, unnest(range(length(text) - 255)) as i from t)),
+two as (select h from w group by h having min(doc_id) < max(doc_id)),
+s as (select doc_id, i from w where h in (select h from two)),
+g as (select doc_id, i, sum(case when i - p <= 256 then 0 else 1 end) over (partition by doc_id order by i) as g from (select doc_id, i, coalesce(lag(i) over (partition by doc_id order by i), -1000) as p from s))
+select doc_id, min(i)::int as start_pos, (max(i) + 256)::int as end_pos from g group by doc_id, g
+"""
+P8_COVERAGE_SQL = f"""
+with found as ({P8_FOUND_SQL}), c as (select doc_id, count(*) as n_spans, sum(end_pos - start_pos)::bigint as shared_chars from found group by 1)
+select d.doc_id, coalesce(length(d.text), 0)::bigint as n_chars, coalesce(n_spans, 0) as n_spans, coalesce(shared_chars, 0) as shared_chars, case when length(d.text) > 0 then coalesce(shared_chars, 0) / length(d.text) else 0.0 end as share
+from documents d left join c using (doc_id)
+"""
+
+SQL = {"p6_found": P6_FOUND_SQL, "p7_found": P7_FOUND_SQL, "p7_clean_documents": P7_CLEAN_SQL, "p8_found": P8_FOUND_SQL, "p8_coverage": P8_COVERAGE_SQL}
