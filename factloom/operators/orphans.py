@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.scratch import asof_state, hot_keys, skew_join, stage
+from factloom.scratch import asof_state, hot_keys, hot_of, skew_join, stage
 
 #: In place of a missing time.
 FAR = "9999-12-31 00:00:00"
@@ -58,10 +58,10 @@ def find_orphans(
     ).where("key is not null")
     history = changes.groupBy("key").agg(F.min(F.when(~F.col("undated"), F.col("t"))).alias("first"), F.min(F.when(F.col("dead") & ~F.col("undated"), F.col("t"))).alias("first_dead"))
 
-    keys = refs.groupBy("key").agg(F.min("when").alias("earliest"), F.max("when").alias("latest"))
+    keys = stage(refs.groupBy("key").agg(F.min("when").alias("earliest"), F.max("when").alias("latest"), F.count(F.lit(1)).alias("n")), "keys")
+    hot = hot_of(keys, "key")
     if eternal is not None:
         keys = keys.join(eternal.select(F.col(eternal.columns[0]).alias("key")).distinct(), "key", "left_anti")
-    keys = stage(keys, "keys")
     missing = keys.join(history, "key", "left_anti").select("key", F.lit("missing").alias("verdict"), F.lit(None).cast("timestamp_ntz").alias("first"))
     dated = keys.join(history, "key").select(
         "key",
@@ -70,7 +70,7 @@ def find_orphans(
     )
     suspects = stage(missing.unionByName(dated.where("verdict is not null")), "suspects")
 
-    at = stage(skew_join(refs, suspects, "key", ["child", "ref_field"], hot_keys(refs, "key")), "suspect_refs")
+    at = stage(skew_join(refs, suspects, "key", ["child", "ref_field"], hot), "suspect_refs")
     plain = at.where("verdict = 'missing' or (verdict = 'late' and (first is null or first > cast(when as timestamp_ntz)))").select("child", "ref_field", "key", "verdict", "r")
 
     questions = at.where("verdict = 'asof'").select(F.col("key").alias("id"), F.col("when").alias("t"), F.lit(None).cast("int").alias("state"), "child", "ref_field", "r")

@@ -65,13 +65,18 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> list:
-    """Non-null values of `key` that hold more than `share` of the rows: at most 1/share of them."""
-    counted = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    whole = counted.agg(F.sum("n").alias("total"), F.max(F.when(F.col(key).isNotNull(), F.col("n"))).alias("most")).first()
+def hot_of(counted: DataFrame, key: str, n: str = "n", share: float = HOT_SHARE) -> list:
+    """Non-null keys of a table of keys and row counts that hold more than `share` of the rows: at most 1/share of them."""
+    known = F.col(key).isNotNull()
+    whole = counted.agg(F.sum(n).alias("total"), F.max(F.when(known, F.col(n))).alias("most")).first()
     if not whole["most"] or whole["most"] <= share * whole["total"]:
         return []
-    return [r[0] for r in counted.where(F.col(key).isNotNull() & (F.col("n") > share * whole["total"])).select(key).collect()]
+    return [r[0] for r in counted.where(known & (F.col(n) > share * whole["total"])).select(key).collect()]
+
+
+def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> list:
+    """`hot_of` for rows that are not counted yet."""
+    return hot_of(df.groupBy(key).agg(F.count(F.lit(1)).alias("n")), key, "n", share)
 
 
 def skew_join(left: DataFrame, right: DataFrame, key: str, spread: list[str], hot: list, how: str = "inner") -> DataFrame:
