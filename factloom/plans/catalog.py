@@ -135,7 +135,7 @@ def _busiest(view: View, kind: str, relation: str, side: str) -> str:
     """The fact of a kind with the most relatives of a kind, the smallest id among equals."""
     ids = view.facts.where(F.col("kind") == kind).select(F.col("object_id").alias(side))
     rows = view.relatives.where(F.col("relation_kind") == relation).join(ids, side, "left_semi").groupBy(side).count().orderBy(F.desc("count"), side).limit(1).collect()
-    return rows[0][0] if rows else ""
+    return rows[0][0] if rows else "none"
 
 
 def _busiest_sql(kind: str, relation: str, side: str) -> str:
@@ -155,7 +155,7 @@ def _rolled(pairs: DataFrame, view: View, spec=None) -> DataFrame:
 def _field_hop(spark, d, predicate, relation, extra=""):
     view = base_view(spark, d).staged()
     anchor = _busiest(view, "field", relation, "to_fact_id")
-    spec = parse(f"{predicate}:{anchor or 'none'} {extra}")
+    spec = parse(f"{predicate}:{anchor} {extra}")
     return _rolled(graph.one_hop(view, anchor, spec.kinds, spec.direction), view, spec)
 
 
@@ -602,7 +602,7 @@ def bounded_payloads(spark: SparkSession, d: str) -> DataFrame:
     return v.select("object_id", truncated_text(F.col("object_description"), 40).alias("description"), bounded_payload(F.col("payload")).alias("p")).select("object_id", "description", "p.preview", "p.truncated")
 
 
-@query()
+@query("""select event_id, case when props is not null then '{"k":"[REDACTED]"}' end as props from events""")
 def redacted_props(spark: SparkSession, d: str) -> DataFrame:
     """Event properties with the values of secret keys hidden."""
     return table(spark, d, "events").select("event_id", redacted(F.col("props"), ["(?i)^k$"]).alias("props"))
