@@ -201,7 +201,7 @@ def pack_blocks(items: DataFrame, capacity: int, n_blocks: int, level: int) -> D
         state = stage(state.repartition(F.col("block"), F.col("island")).mapInPandas(_epoch(capacity, epoch), STATE), "islands")
         if epoch < EPOCHS - 1:  # the elites go on to the next island, which keeps its own best too
             guests = state.select("block", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), F.col("elites").alias("guests"))
-            state = state.join(guests, ["block", "island"]).select("block", "island", "docs", "pieces", "sizes", F.concat(F.slice("elites", 1, 1), "guests").alias("elites"))
+            state = state.join(guests.hint("merge"), ["block", "island"]).select("block", "island", "docs", "pieces", "sizes", F.concat(F.slice("elites", 1, 1), "guests").alias("elites"))
     best = state.groupBy("block").agg(F.first("docs").alias("docs"), F.first("pieces").alias("pieces"), F.first("sizes").alias("sizes"), F.flatten(F.collect_list("elites")).alias("elites"))
     return stage(best.mapInPandas(_settle(capacity), "doc bigint, piece bigint, size int, block bigint, bin int, fill bigint"), "packed")
 
