@@ -65,15 +65,18 @@ def representative() -> Column:
     return F.struct(F.col("condition").isNotNull().alias("conditional"), F.coalesce("evidence_source", F.lit("")).alias("evidence"), F.col("relative_id").alias("rid"))
 
 
-def rollup(pairs: DataFrame) -> DataFrame:
-    """Edges (endpoint_id, hop, relative columns) per endpoint.
+def weighed(pairs: DataFrame) -> DataFrame:
+    """Edges (endpoint_id, hop, relative columns) as rows that may stand for several: n, rep, unconditional."""
+    return pairs.select("endpoint_id", "hop", "relation_kind", F.lit(1).cast("bigint").alias("n"), representative().alias("rep"), F.col("condition").isNull().alias("unconditional"))
+
+
+def rollup(rows: DataFrame) -> DataFrame:
+    """`weighed` edges per endpoint.
 
     Two steps, both with partial aggregation: per endpoint and kind, of which
     there are few, then per endpoint.
     """
-    per_kind = pairs.groupBy("endpoint_id", "relation_kind").agg(
-        F.count(F.lit(1)).alias("n"), F.min("hop").alias("hop"), F.min(representative()).alias("rep"), F.bool_or(F.col("condition").isNull()).alias("unconditional")
-    )
+    per_kind = rows.groupBy("endpoint_id", "relation_kind").agg(F.sum("n").alias("n"), F.min("hop").alias("hop"), F.min("rep").alias("rep"), F.bool_or("unconditional").alias("unconditional"))
     rank = salience(F.col("relation_kind"))
     one = F.struct(rank.alias("salience"), F.col("relation_kind").alias("kind"), F.col("rep.rid").alias("representative"), F.col("n").alias("instances"))
     return per_kind.groupBy("endpoint_id").agg(
@@ -110,29 +113,57 @@ def relatives_of(view: View, fact_id: str, direction: str = "both", kind: str |
 # --- call edges ----------------------------------------------------------------------------------
 
 
-def call_edges(view: View) -> DataFrame:
+@dataclass
+class Calls:
+    """What call edges are made of, staged; dispatches are joined with assignments only where a walk passes."""
+
+    direct: DataFrame  # from_id, to_id, relative columns
+    dispatch: DataFrame  # from_id, slot, relative columns
+    assigned: DataFrame  # slot, to_id, each pair once
+
+
+def call_graph(view: View) -> Calls:
+    used = view.relatives.where(F.col("relation_kind").isin("direct_call", "assigned_to", "dispatches_via"))
+    edges = stage(View(view.facts, used).connected(), "call_relatives")
+    return Calls(
+        edges.where("relation_kind = 'direct_call'").withColumns({"from_id": F.col("from_fact_id"), "to_id": F.col("to_fact_id")}),
+        edges.where("relation_kind = 'dispatches_via'").withColumns({"from_id": F.col("from_fact_id"), "slot": F.col("to_fact_id")}),
+        edges.where("relation_kind = 'assigned_to'").select(F.col("from_fact_id").alias("slot"), F.col("to_fact_id").alias("to_id")).distinct(),
+    )
+
+
+def call_edges(calls: Calls) -> DataFrame:
     """(from_id, to_id, relative columns): direct calls, and dispatches joined with what the slot was assigned.
 
     A dispatch runs from its source to every fact assigned to the slot; the edge
-    shown is the dispatch. Slots with many dispatches or assignments are spread.
+    shown is the dispatch. A slot with d dispatches and a assignments gives d * a
+    edges, which is the result asked for; walks never build them all.
     """
-    used = view.relatives.where(F.col("relation_kind").isin("direct_call", "assigned_to", "dispatches_via"))
-    edges = stage(View(view.facts, used).connected(), "call_relatives")
-    direct = edges.where("relation_kind = 'direct_call'").withColumns({"from_id": F.col("from_fact_id"), "to_id": F.col("to_fact_id")})
-    assigned = edges.where("relation_kind = 'assigned_to'").select(F.col("from_fact_id").alias("slot"), F.col("to_fact_id").alias("to_id")).distinct()
-    dispatch = edges.where("relation_kind = 'dispatches_via'").withColumn("slot", F.col("to_fact_id")).withColumn("from_id", F.col("from_fact_id"))
-    return direct.unionByName(spread_join(dispatch, assigned, "slot", ["relative_id"]).drop("slot"))
+    return calls.direct.unionByName(spread_join(calls.dispatch, calls.assigned, "slot", ["relative_id"]).drop("slot"))
 
 
-def closure(view_calls: DataFrame, anchor_id: str, direction: str, depth: int) -> DataFrame:
-    """Edges met by a breadth-first walk, as (endpoint_id, hop, relative columns): those that reach an endpoint at its least hop. No budget."""
-    near, far = ("from_id", "to_id") if direction == "outgoing" else ("to_id", "from_id")
-    spark = view_calls.sparkSession
-    visited = spark.createDataFrame([(anchor_id,)], "id string")
+def _step(calls: Calls, frontier: DataFrame, direction: str) -> DataFrame:
+    """`weighed` edges out of a frontier(id), without hop. At a slot, the many sides are summed up before they meet."""
+    plain = lambda df, far, n: df.select(F.col(far).alias("endpoint_id"), "relation_kind", n.cast("bigint").alias("n"), representative().alias("rep"), F.col("condition").isNull().alias("unconditional"))
+    if direction == "outgoing":
+        direct = plain(calls.direct.join(frontier.withColumnRenamed("id", "from_id"), "from_id", "left_semi"), "to_id", F.lit(1))
+        at = calls.dispatch.join(frontier.withColumnRenamed("id", "from_id"), "from_id", "left_semi")
+        per_slot = at.groupBy("slot", "relation_kind").agg(F.count(F.lit(1)).alias("n"), F.min(representative()).alias("rep"), F.bool_or(F.col("condition").isNull()).alias("unconditional"))
+        via = spread_join(calls.assigned, per_slot, "slot", ["to_id"]).select(F.col("to_id").alias("endpoint_id"), "relation_kind", "n", "rep", "unconditional")
+    else:
+        direct = plain(calls.direct.join(frontier.withColumnRenamed("id", "to_id"), "to_id", "left_semi"), "from_id", F.lit(1))
+        per_slot = calls.assigned.join(frontier.withColumnRenamed("id", "to_id"), "to_id", "left_semi").groupBy("slot").agg(F.count(F.lit(1)).alias("k"))
+        via = plain(spread_join(calls.dispatch, per_slot, "slot", ["relative_id"]), "from_id", F.col("k"))
+    return direct.unionByName(via)
+
+
+def closure(calls: Calls, anchor_id: str, direction: str, depth: int) -> DataFrame:
+    """`weighed` edges met by a breadth-first walk: those that reach an endpoint at its least hop. No budget; each hop is staged."""
+    visited = calls.direct.sparkSession.createDataFrame([(anchor_id,)], "id string")
     frontier, met = visited, None
     for hop in range(1, depth + 1):
-        step = view_calls.withColumn("id", F.col(near)).join(frontier, "id").drop("id").withColumn("endpoint_id", F.col(far))
-        step = stage(step.join(visited.withColumnRenamed("id", "endpoint_id"), "endpoint_id", "left_anti").drop("from_id", "to_id").withColumn("hop", F.lit(hop)), "hop")
+        step = _step(calls, frontier, direction).join(visited.withColumnRenamed("id", "endpoint_id"), "endpoint_id", "left_anti")
+        step = stage(step.withColumn("hop", F.lit(hop)), "hop")
         frontier = step.select(F.col("endpoint_id").alias("id")).distinct()
         visited = visited.unionByName(frontier)
         met = step if met is None else met.unionByName(step)
@@ -179,8 +210,8 @@ def _resolve(view: View, anchor: str, kind: str, limit: int) -> tuple[str | None
     return rows[0]["object_id"], None
 
 
-def relation_search(view: View, query: str | RelationQuery, limit: int = 20, calls: DataFrame | None = None, edge_budget: int = EDGE_BUDGET, visit_budget: int = VISIT_BUDGET) -> RelationResult:
-    """Answers a relation query. `calls` may hold staged `call_edges` of the view."""
+def relation_search(view: View, query: str | RelationQuery, limit: int = 20, calls: Calls | None = None, edge_budget: int = EDGE_BUDGET, visit_budget: int = VISIT_BUDGET) -> RelationResult:
+    """Answers a relation query. `calls` may hold the `call_graph` of the view."""
     spec = parse(query) if isinstance(query, str) else query
     check_limit(limit)
     if spec.complaint:
@@ -189,7 +220,7 @@ def relation_search(view: View, query: str | RelationQuery, limit: int = 20, cal
     if refusal:
         return refusal
     if spec.walks:
-        calls = stage(call_edges(view), "calls") if calls is None else calls
+        calls = call_graph(view) if calls is None else calls
     if spec.mode == "relation_reachable":
         target, refusal = _resolve(view, spec.target, "function", limit)
         return refusal or _reach(view, calls, anchor, target, spec, edge_budget, visit_budget)
@@ -201,7 +232,7 @@ def relation_search(view: View, query: str | RelationQuery, limit: int = 20, cal
     else:
         pairs = one_hop(view, anchor, spec.kinds, spec.direction)
         out.depth_used = 1
-    rows = with_endpoints(rollup(pairs), view.facts, spec)
+    rows = with_endpoints(rollup(weighed(pairs)), view.facts, spec)
     out.total = rows.count()
     out.rows = [r.asDict(recursive=True) for r in rows.orderBy(*endpoint_order()).limit(limit).select("object_id", "object_name", "object_source", "hop", "instances", "representative", "matched").collect()]
     if out.budget_kind or out.total > limit:
@@ -211,12 +242,13 @@ def relation_search(view: View, query: str | RelationQuery, limit: int = 20, cal
     return out
 
 
-def _frontier_edges(view: View, calls: DataFrame, frontier: list[str], direction: str, most: int) -> list:
-    """Edges of a frontier in traversal order, at most `most`; the frontier has at most VISIT_BUDGET ids."""
+def _frontier_edges(view: View, calls: Calls, frontier: list[str], direction: str, most: int) -> list:
+    """Edges of a frontier in traversal order, at most `most`; the frontier has at most VISIT_BUDGET ids and is broadcast."""
     near, far = ("from_id", "to_id") if direction == "outgoing" else ("to_id", "from_id")
-    ids = view.facts.sparkSession.createDataFrame([(i,) for i in frontier], f"{near} string")
-    edges = calls.join(F.broadcast(ids), near).withColumn("object_id", F.col(far)).select("relative_id", "relation_kind", "condition", F.col(near).alias("source"), "object_id")
-    named = edges.join(view.facts.select("object_id", "object_name", "object_source"), "object_id")
+    ids = F.broadcast(view.facts.sparkSession.createDataFrame([(i,) for i in frontier], f"{near} string"))
+    passed = calls.dispatch.join(ids, near).join(calls.assigned, "slot") if direction == "outgoing" else calls.dispatch.join(calls.assigned.join(ids, near), "slot")
+    edges = calls.direct.join(ids, near).unionByName(passed.drop("slot"))
+    named = edges.withColumn("object_id", F.col(far)).select("relative_id", "relation_kind", "condition", F.col(near).alias("source"), "object_id").join(view.facts.select("object_id", "object_name", "object_source"), "object_id")
     return named.orderBy("source", "object_name", "object_source", "relative_id", "object_id").limit(most).collect()
 
 

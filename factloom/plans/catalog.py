@@ -156,7 +156,7 @@ def _field_hop(spark, d, predicate, relation, extra=""):
     view = base_view(spark, d).staged()
     anchor = _busiest(view, "field", relation, "to_fact_id")
     spec = parse(f"{predicate}:{anchor} {extra}")
-    return _rolled(graph.one_hop(view, anchor, spec.kinds, spec.direction), view, spec)
+    return _rolled(graph.weighed(graph.one_hop(view, anchor, spec.kinds, spec.direction)), view, spec)
 
 
 @query(_one_hop_sql("'field_read'", "field_read") + " where contains(lower(f.source_path), 'net/')")
@@ -186,7 +186,7 @@ ce as (select *, from_fact_id as a, to_fact_id as b from vis where relation_kind
 @query(f"with {VIEW}, {CALLS} select relation_kind, a as from_id, b as to_id, count(*) as n_edges from ce group by all")
 def dispatch_targets(spark: SparkSession, d: str) -> DataFrame:
     """Call edges: direct ones, and dispatches joined with assignments."""
-    return graph.call_edges(base_view(spark, d).staged()).groupBy("relation_kind", "from_id", "to_id").agg(F.count(F.lit(1)).alias("n_edges"))
+    return graph.call_edges(graph.call_graph(base_view(spark, d).staged())).groupBy("relation_kind", "from_id", "to_id").agg(F.count(F.lit(1)).alias("n_edges"))
 
 
 def _closure_sql(near: str, far: str, depth: int, anchor: str) -> str:
@@ -200,7 +200,7 @@ def _closure_sql(near: str, far: str, depth: int, anchor: str) -> str:
 def _closure(spark, d, direction, depth, side):
     view = base_view(spark, d).staged()
     anchor = _busiest(view, "function", "direct_call", side)
-    return _rolled(graph.closure(stage(graph.call_edges(view), "calls"), anchor, direction, depth), view)
+    return _rolled(graph.closure(graph.call_graph(view), anchor, direction, depth), view)
 
 
 @query(_closure_sql("a", "b", 3, _busiest_sql("function", "direct_call", "from_fact_id")))

@@ -44,8 +44,8 @@ def test_diamond_with_cycle(spark):
     out = graph.relation_search(v, "callees:root depth:2")
     assert [(r["object_id"], r["hop"], r["instances"]) for r in out.rows] == [("left", 1, 1), ("right", 1, 1), ("leaf", 2, 2)]
     assert (out.total, out.complete, out.status) == (3, True, "ok")
-    met = graph.closure(graph.call_edges(v), "root", "outgoing", 2)
-    assert rows(met, "endpoint_id", "hop") == [("leaf", 2), ("leaf", 2), ("left", 1), ("right", 1)]
+    met = graph.rollup(graph.closure(graph.call_graph(v), "root", "outgoing", 2))
+    assert rows(met, "endpoint_id", "hop", "instances") == [("leaf", 2, 2), ("left", 1, 1), ("right", 1, 1)]
     assert graph.relation_search(v, "callees:root depth:2", limit=2).status == "too_broad"
     assert graph.relation_search(v, "callees:nowhere").status == "not_found"
 
@@ -69,6 +69,10 @@ def test_dispatch(spark):
     out = graph.relation_search(v, "callees:root depth:2")
     assert [(r["object_id"], r["hop"], r["matched"][0]["kind"]) for r in out.rows] == [("target", 1, "dispatches_via"), ("leaf", 2, "direct_call")]
     assert [p["object_id"] for p in graph.relation_search(v, "reachable:root->leaf").path] == ["root", "target", "leaf"]
+    calls = graph.call_graph(view(spark, facts + [fact("t2"), fact("r2")], [edge(a, "slot", "dispatches_via", rid=f"{a}{k}") for a in ("root", "r2") for k in range(3)] + [edge("slot", t, "assigned_to") for t in ("target", "t2")]))
+    assert rows(graph.rollup(graph.closure(calls, "root", "outgoing", 1)), "endpoint_id", "instances", "representative") == [("t2", 3, "root0"), ("target", 3, "root0")]
+    assert rows(graph.rollup(graph.closure(calls, "t2", "incoming", 1)), "endpoint_id", "instances", "representative") == [("r2", 3, "r20"), ("root", 3, "root0")]
+    assert graph.call_edges(calls).count() == 12
     hop = graph.relation_search(v, "dispatches_via:ExecProcNode")
     assert [(r["object_id"], r["matched"][0]["kind"]) for r in hop.rows] == [("target", "assigned_to")]
 
