@@ -60,7 +60,7 @@ def merge_spool(df: DataFrame, key: str, payload: str, seq: str) -> DataFrame:
     tied = df.join(low, key).where(F.col(seq) == F.col("_s")).select(key, canonical_json(F.col(payload)).alias("p"), F.col(seq).alias("seq")).distinct()
     sizes = tied.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min("p").alias("p"), F.min("seq").alias("seq"))
     alone = sizes.where("n = 1").select(key, F.col("p").alias("payload"), "seq", F.lit(False).alias("conflict"))
-    # Differing payloads meet in one fold per key that keeps the largest so far: memory holds one payload.
+    # Only payloads that differ as values meet, and only those of the lowest seq; copies are gone by now.
     several = tied.join(sizes.where("n > 1").select(key), key, "left_semi")
     schema = f"{key} {df.schema[key].dataType.simpleString()}, payload string, seq {df.schema[seq].dataType.simpleString()}, conflict boolean"
 
