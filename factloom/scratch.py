@@ -61,8 +61,10 @@ def drop_staged(*frames: DataFrame) -> None:
                 hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def parts(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def clear(spark: SparkSession) -> None:
+    """Removes all staged tables of this application; only when no DataFrame over them is read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def hot_of(counted: DataFrame, key: str, n: str = "n", share: float = HOT_SHARE) -> list:

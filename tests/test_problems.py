@@ -39,6 +39,16 @@ def test_positions_number_all_rows(spark):
     assert got == sorted(got) and sorted(r["pos"] for r in out.collect()) == list(range(1000))
 
 
+def test_staged_tables_can_be_dropped(spark):
+    from factloom.scratch import drop_staged, stage
+
+    kept, gone = stage(spark.range(5)), stage(spark.range(6))
+    drop_staged(gone)
+    assert kept.count() == 5
+    with pytest.raises(Exception):
+        gone.count()
+
+
 def test_skew_join_equals_plain_join(spark):
     left = spark.range(500).select(F.when(F.col("id") < 300, 1).otherwise(F.col("id")).alias("k"), "id")
     right = spark.range(400).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
