@@ -170,6 +170,27 @@ def closure(calls: Calls, anchor_id: str, direction: str, depth: int) -> DataFra
     return met
 
 
+def reach(calls: Calls, anchor_id: str, target_id: str, depth: int) -> tuple[bool, int, bool]:
+    """Whether a walk of at most `depth` hops meets the target: (reachable, hops of the shortest path, complete). No budget; each hop is staged.
+
+    The answer is complete if the target was met or nothing lay beyond; else
+    longer paths may exist. The walk ends at the target or without new facts.
+    """
+    if anchor_id == target_id:
+        return True, 0, True
+    visited = calls.direct.sparkSession.createDataFrame([(anchor_id,)], "id string")
+    frontier = visited
+    for hop in range(1, depth + 1):
+        step = _step(calls, frontier, "outgoing").select(F.col("endpoint_id").alias("id")).distinct()
+        frontier = stage(step.join(visited, "id", "left_anti"), "reached")
+        if frontier.where(F.col("id") == target_id).limit(1).count():
+            return True, hop, True
+        if not frontier.limit(1).count():
+            return False, 0, True
+        visited = visited.unionByName(frontier)
+    return False, 0, False
+
+
 # --- the language --------------------------------------------------------------------------------
 
 

@@ -13,7 +13,7 @@ from factloom.functions.jsonops import bounded_payload, redacted
 from factloom.functions.paths import source_bucket, truncated_text
 from factloom.operators import census, detail, graph, ingest, logs, overlay, perfscan, runs, search, verdict
 from factloom.plans.model import View, base_view, fact_problem, relative_problem
-from factloom.plans.query_lang import parse
+from factloom.plans.query_lang import REACH_DEPTH, parse
 from factloom.scratch import stage
 from factloom.session import table
 from factloom.sources.store import orphan_edges as store_orphans
@@ -214,18 +214,26 @@ def callers_depth2(spark: SparkSession, d: str) -> DataFrame:
     return _closure(spark, d, "incoming", 2, "to_fact_id")
 
 
-def _reach_result(spark, d) -> tuple[View, graph.RelationResult]:
+def _reach(spark, d, depth: int) -> tuple[bool, int, bool]:
     view = base_view(spark, d).staged()
     a, b = _busiest(view, "function", "direct_call", "from_fact_id"), _busiest(view, "function", "direct_call", "to_fact_id")
-    return view, graph.relation_search(view, f"reachable:{a}->{b} depth:4", 20)
+    return graph.reach(graph.call_graph(view), a, b, depth)
 
 
 @query(f"""with recursive {VIEW}, {CALLS}, walk as (select {_busiest_sql('function', 'direct_call', 'from_fact_id')} as id, 0 as hop union select ce.b, w.hop + 1 from walk w join ce on ce.a = w.id where w.hop < 4)
 select count(*) > 0 as reachable, coalesce(min(hop), 0)::int as hops from walk where id = {_busiest_sql('function', 'direct_call', 'to_fact_id')}""")
 def reachable_path(spark: SparkSession, d: str) -> DataFrame:
-    """Whether the busiest callee is reached from the busiest caller, and in how many hops (budgeted walk)."""
-    _, out = _reach_result(spark, d)
-    return spark.createDataFrame([(bool(out.reachable), max([0, *(p["hop"] for p in out.path)]))], "reachable boolean, hops int")
+    """Whether the busiest callee is reached from the busiest caller within four hops, and in how many, without budget."""
+    reachable, hops, _ = _reach(spark, d, 4)
+    return spark.createDataFrame([(reachable, hops)], "reachable boolean, hops int")
+
+
+@query(f"""with recursive {VIEW}, {CALLS}, walk as (select {_busiest_sql('function', 'direct_call', 'from_fact_id')} as id, 0 as hop union select ce.b, w.hop + 1 from walk w join ce on ce.a = w.id where w.hop < {REACH_DEPTH}),
+least as (select id, min(hop) as hop from walk group by 1), hit as (select hop from least where id = {_busiest_sql('function', 'direct_call', 'to_fact_id')})
+select count(*) > 0 as reachable, coalesce(min(hop), 0)::int as hops, count(*) > 0 or not exists (select 1 from least where hop = {REACH_DEPTH}) as complete from hit""")
+def reachable_full_depth(spark: SparkSession, d: str) -> DataFrame:
+    """`reachable_path` at the full depth of the language; a false that longer paths may refute is not complete."""
+    return spark.createDataFrame([_reach(spark, d, REACH_DEPTH)], "reachable boolean, hops int, complete boolean")
 
 
 @query()

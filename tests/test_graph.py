@@ -63,6 +63,23 @@ def test_paths_and_budgets(spark):
     assert (tight.status, tight.complete, tight.budget_kind) == ("too_broad", False, "frontier_edges")
 
 
+def test_reach_has_no_budget(spark, monkeypatch):
+    facts, edges = [fact(i) for i in ("root", "a", "b", "c", "z", "alone")], [edge("root", i) for i in ("a", "b", "c", "z")] + [edge("c", "root"), edge("z", "last")]
+    v = view(spark, facts + [fact("last")], edges)
+    assert not graph.relation_search(v, "reachable:root->z", edge_budget=3).reachable  # the budget ends before a fact that is called directly
+    calls = graph.call_graph(v)
+    assert graph.reach(calls, "root", "z", 8) == (True, 1, True)
+    assert graph.reach(calls, "root", "last", 1) == (False, 0, False) and graph.reach(calls, "root", "last", 2) == (True, 2, True)
+    assert graph.reach(calls, "root", "alone", 8) == (False, 0, True) and graph.reach(calls, "root", "root", 8) == (True, 0, True)
+
+    from factloom.plans import catalog
+
+    monkeypatch.setattr(catalog, "base_view", lambda *_: view(spark, facts + [fact("hub")], [edge("root", f"{i}") for i in ("a", "b", "c", "z")] + [edge("b", "z")]))
+    monkeypatch.setattr(graph.relation_search, "__defaults__", (20, None, 3, 10_000))
+    assert catalog.reachable_path(spark, "").collect()[0][:] == (True, 1)
+    assert catalog.reachable_full_depth(spark, "").collect()[0][:] == (True, 1, True)
+
+
 def test_dispatch(spark):
     facts = [fact("root"), fact("slot", "ExecProcNode", "field"), fact("target"), fact("leaf")]
     v = view(spark, facts, [edge("root", "slot", "dispatches_via"), edge("slot", "target", "assigned_to"), edge("target", "leaf")])
