@@ -14,6 +14,8 @@ from factloom.scratch import spread_join, stage
 
 # Which reason for a dirty source outranks which.
 REASONS = {"content_changed": 0, "missing": 1, "compile_command_changed": 2, "toolchain_changed": 3, "included_header_changed": 4}
+#: After so many hops of an include walk the files met so far become one table again.
+RESTAGE = 16
 
 
 def census_diff(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -103,18 +105,23 @@ def invert_includes(pairs: DataFrame) -> DataFrame:
     return by.join(to, "path", "full").select("path", F.coalesce("included_by", none).alias("included_by"), F.coalesce("includes", none).alias("includes"))
 
 
-def include_closure(pairs: DataFrame, starts: DataFrame, most_hops: int = 64) -> DataFrame:
-    """(path, hop): files reached from `starts`(path) over includes, at their least hop. Each hop is staged."""
+def include_closure(pairs: DataFrame, starts: DataFrame) -> DataFrame:
+    """(path, hop): files reached from `starts`(path) over includes, at their least hop.
+
+    Each hop is staged, and the known files are every RESTAGE hops, so that
+    plans stay short. The walk ends when a hop meets no new file, as it must on circles too.
+    """
     known = stage(starts.select("path").dropna().distinct().withColumn("hop", F.lit(0)), "includes")
     frontier, hop = known, 0
-    while hop < most_hops:
+    while True:
         hop += 1
         step = frontier.select(F.col("path").alias("src")).join(pairs, "src").select(F.col("dst").alias("path")).distinct()
         frontier = stage(step.join(known.select("path"), "path", "left_anti").withColumn("hop", F.lit(hop)), "includes")
         if not frontier.limit(1).count():
-            break
+            return known
         known = known.unionByName(frontier)
-    return known
+        if hop % RESTAGE == 0:
+            known = stage(known, "includes")
 
 
 def frozen_violations(pinned: DataFrame, now: DataFrame) -> DataFrame:

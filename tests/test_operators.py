@@ -144,6 +144,12 @@ def test_census(spark):
     assert census.content_digest(files.select("path", F.col("text").alias("sha256"))).first()["n_files"] == 3
 
 
+def test_include_chains_of_any_length(spark):
+    links = [(f"h{k}", f"h{k + 1}") for k in range(67)] + [("h67", "h5")]
+    out = census.include_closure(spark.createDataFrame(links, "src string, dst string").coalesce(1), spark.createDataFrame([("h0",), (None,)], "path string"))
+    assert {r["path"]: r["hop"] for r in out.collect()} == {f"h{k}": k for k in range(68)} and out.count() == 68
+
+
 def test_compile_db(spark, tmp_path):
     (tmp_path / "args.rsp").write_text("-Iinc -DX")
     rec = [(["cc", "-c", "a.c", "-o", "a.o"], str(tmp_path), "a.c", "a.o", False, 1), (["cc", "@args.rsp", "-c", "a.c"], str(tmp_path), "a.c", "a.o", False, 2), (["cc"], str(tmp_path), "b.c", "", True, 3), (None, "/", "c.c", "", False, 4)]
