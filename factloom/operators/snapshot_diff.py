@@ -1,6 +1,7 @@
 """Problem 2: what changed between full snapshots.
 
-Keys get ordinals, dense within a group, sorted by (group, key). Each snapshot
+Keys get ordinals, dense over all groups and sorted by (group, key); a later
+call may keep them, and new keys then follow after the largest. Each snapshot
 becomes, per block of 65,536 ordinals, a compressed bitmap of its members and a
 vector of 128-bit value digests aligned with it. AND-NOT of the bitmaps of two
 successive snapshots gives additions and removals, the aligned vectors show the
@@ -66,13 +67,14 @@ def _differences(bits: pd.Series, vec: pd.Series, prev_bits: pd.Series, prev_vec
     return pd.Series([_compare(*x) for x in zip(bits, vec, prev_bits, prev_vec)])
 
 
-def diff_snapshots(
+def diff_with_ordinals(
     rows: DataFrame, manifest: DataFrame, *, group: str, snapshot: str, key: str, value: str, published_at: str, delivered_at: str, known: DataFrame | None = None
-) -> DataFrame:
-    """Differences of successive snapshots: (grp, snap, key, change).
+) -> tuple[DataFrame, DataFrame]:
+    """Differences of successive snapshots: (grp, snap, key, change), and the ordinals (grp, key, ordinal) they were found with.
 
     `change` is `added`, `removed`, or `changed` if the two JSON values differ
-    as values. `known` (grp, key, ordinal) keeps ordinals over calls.
+    as values. The ordinals are staged; handed to a later call as `known`, from
+    there or from a table the caller wrote them to, keys keep theirs.
     """
     pairs = stage(successive(manifest, group=group, snapshot=snapshot, published_at=published_at), "pairs")
     lines = rows.select(F.col(snapshot).alias("snap"), F.col(key).alias("key"), F.coalesce(json_digest(F.col(value)), F.lit(NULL_DIGEST)).alias("digest"), F.col(delivered_at).alias("at")).where("key is not null")
@@ -82,7 +84,8 @@ def diff_snapshots(
         .agg(F.max(F.struct("at", "digest"))["digest"].alias("digest"))
     )
     members = stage(members, "members")
-    ordinals = stage(dense_ordinals(members, ["grp", "key"], known=known).select("grp", "key", F.expr("ordinal div 65536").alias("block"), F.expr("cast(ordinal % 65536 as int)").alias("o")), "ordinals")
+    kept = stage(dense_ordinals(members, ["grp", "key"], known=known), "ordinals").select("grp", "key", "ordinal")
+    ordinals = kept.select("grp", "key", F.expr("ordinal div 65536").alias("block"), F.expr("cast(ordinal % 65536 as int)").alias("o"))
     blocks = stage(
         members.join(ordinals, ["grp", "key"]).groupBy("grp", "snap", "block").applyInPandas(_block, "grp string, snap string, block bigint, bits binary, vec binary"), "blocks"
     )
@@ -90,4 +93,9 @@ def diff_snapshots(
     now = later.join(blocks, ["grp", "snap"]).select("grp", "snap", "block", "bits", "vec")
     was = later.join(blocks.withColumnRenamed("snap", "prev"), ["grp", "prev"]).select("grp", "snap", "block", F.col("bits").alias("prev_bits"), F.col("vec").alias("prev_vec"))
     found = now.join(was, ["grp", "snap", "block"], "full").select("grp", "snap", "block", F.explode(_differences("bits", "vec", "prev_bits", "prev_vec")).alias("d"))
-    return found.select("grp", "snap", "block", "d.*").join(ordinals, ["grp", "block", "o"]).select("grp", "snap", "key", "change")
+    return found.select("grp", "snap", "block", "d.*").join(ordinals, ["grp", "block", "o"]).select("grp", "snap", "key", "change"), kept
+
+
+def diff_snapshots(rows: DataFrame, manifest: DataFrame, **names) -> DataFrame:
+    """The differences of `diff_with_ordinals`, of which it takes all arguments."""
+    return diff_with_ordinals(rows, manifest, **names)[0]

@@ -60,10 +60,11 @@ P1_COUNT_SQL = f"with {_P1_BROKEN} select ref_field, reason, strftime(r, '%Y-%m'
 # --- problem 2 -----------------------------------------------------------------------------------
 
 
+_P2_NAMES = dict(group="store_name", snapshot="snapshot_id", key="object_id", value="payload", published_at="created_at", delivered_at="delivered_at")
+
+
 def _diff(spark: SparkSession, d: str) -> DataFrame:
-    return snapshot_diff.diff_snapshots(
-        table(spark, d, "fact_snapshots"), table(spark, d, "storage_manifest"), group="store_name", snapshot="snapshot_id", key="object_id", value="payload", published_at="created_at", delivered_at="delivered_at"
-    )
+    return snapshot_diff.diff_snapshots(table(spark, d, "fact_snapshots"), table(spark, d, "storage_manifest"), **_P2_NAMES)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -71,6 +72,16 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return _diff(spark, d).select(F.col("snap").alias("snapshot_id"), F.col("key").alias("object_id"), "change")
 
 
+def p2_found_continued(spark: SparkSession, d: str) -> DataFrame:
+    """`p2_found` in a second call, with the ordinals of a first one that knew all snapshots but the last of each store."""
+    rows, manifest = table(spark, d, "fact_snapshots"), table(spark, d, "storage_manifest")
+    pairs = snapshot_diff.successive(manifest, group="store_name", snapshot="snapshot_id", published_at="created_at")
+    earlier = manifest.join(pairs.select(F.col("grp").alias("store_name"), F.col("prev").alias("snapshot_id")), ["store_name", "snapshot_id"], "left_semi")
+    _, known = snapshot_diff.diff_with_ordinals(rows, earlier, **_P2_NAMES)
+    found, _ = snapshot_diff.diff_with_ordinals(rows, manifest, known=known, **_P2_NAMES)
+    return found.select(F.col("snap").alias("snapshot_id"), F.col("key").alias("object_id"), "change")
+
+
 def p2_changes_by_store(spark: SparkSession, d: str) -> DataFrame:
     """Differences counted per store, snapshot and kind of change."""
     return _diff(spark, d).groupBy(F.col("grp").alias("store_name"), F.col("snap").alias("snapshot_id"), "change").agg(F.count(F.lit(1)).alias("n_facts"))
@@ -191,13 +202,14 @@ P5_PATHS_SQL = _P5_TREE + """
 select i.id as fact_id, t.path, b.n as n_descendants from ids i left join tree t on i.id = t.id left join below b on b.id = i.id
 """
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_orphans_by_period, p2_found, p2_changes_by_store, p3_found, p3_term_frequency, p4_found, p4_per_fact, p5_found, p5_paths)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_orphans_by_period, p2_found, p2_changes_by_store, p2_found_continued, p3_found, p3_term_frequency, p4_found, p4_per_fact, p5_found, p5_paths)}
 
 SQL = {
     "p1_found": P1_FOUND_SQL,
     "p1_orphans_by_period": P1_COUNT_SQL,
     "p2_found": P2_FOUND_SQL,
     "p2_changes_by_store": P2_COUNT_SQL,
+    "p2_found_continued": P2_FOUND_SQL,
     "p3_found": P3_FOUND_SQL,
     "p3_term_frequency": P3_FREQ_SQL,
     "p4_found": P4_FOUND_SQL,

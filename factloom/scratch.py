@@ -147,7 +147,8 @@ def dense_ordinals(keys: DataFrame, cols: list[str], name: str = "ordinal", know
     first = 0
     if known is not None:
         distinct = distinct.join(known, cols, "left_anti")
-        first = (known.agg(F.max(name)).first()[0] or -1) + 1 if known.limit(1).count() else 0
+        most = known.agg(F.max(name)).first()[0]
+        first = 0 if most is None else most + 1
     cut, counts = numbered(distinct, cols, "ordinals")
     fresh = with_positions(cut, counts, name).withColumn(name, F.col(name) + F.lit(first).cast("bigint"))
     return fresh if known is None else known.select(*cols, name).unionByName(fresh.select(*cols, name))

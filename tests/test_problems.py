@@ -183,6 +183,17 @@ def test_snapshot_diff(spark, seed):
     assert snapshot_diff.diff_snapshots(df, mf.limit(0), **cols).count() == 0
 
 
+def test_snapshot_diff_keeps_ordinals(spark):
+    cols = dict(group="g", snapshot="s", key="k", value="v", published_at="p", delivered_at="d")
+    df = spark.createDataFrame([("s0", "m", "1", at(0)), ("s1", "m", "1", at(1)), ("s1", "a", "1", at(1)), ("s2", "a", "2", at(2)), ("s2", "z", "1", at(2))], "s string, k string, v string, d timestamp_ntz")
+    mf = spark.createDataFrame([("g", f"s{n}", at(n)) for n in range(3)], "g string, s string, p timestamp_ntz")
+    _, first = snapshot_diff.diff_with_ordinals(df, mf.where("s = 's0'"), **cols)
+    assert rows(first, "grp", "key", "ordinal") == [("g", "m", 0)]
+    found, second = snapshot_diff.diff_with_ordinals(df, mf, known=first, **cols)
+    assert rows(second, "key", "ordinal") == [("a", 1), ("m", 0), ("z", 2)]
+    assert rows(found, "snap", "key", "change") == [("s1", "a", "added"), ("s2", "a", "changed"), ("s2", "m", "removed"), ("s2", "z", "added")]
+
+
 # --- problem 3 -----------------------------------------------------------------------------------
 
 
