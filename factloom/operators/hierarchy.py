@@ -295,3 +295,16 @@ def descendants_of(tree: DataFrame, ids: DataFrame) -> DataFrame:
     """(ancestor_id, id) for the asked ancestors `ids`(id): an equi-join on the root with an interval test."""
     asked = tree.join(ids.select("id").distinct(), "id").where("depth >= 0").select(F.col("id").alias("ancestor_id"), "root_id", F.col("entry").alias("lo"), F.col("exit").alias("hi"))
     return tree.where("depth >= 0").join(asked, "root_id").where("entry > lo and entry < hi").select("ancestor_id", "id")
+
+
+def all_descendants(tree: DataFrame, part: int = 4096) -> DataFrame:
+    """(ancestor_id, id) for every node of a tree and every node below it, from the intervals.
+
+    Entries number a tree's nodes without gaps, so each place inside an interval
+    is one descendant, found by an equi-join. Intervals are cut into pieces of
+    `part` places, so that no task unfolds a large one alone.
+    """
+    on = tree.where("depth >= 0").select("id", "root_id", "entry", "exit")
+    pieces = on.where("exit - entry > 1").select(F.col("id").alias("ancestor_id"), "root_id", "exit", F.explode(F.expr(f"sequence(entry + 1, exit - 1, {part}L)")).alias("lo"))
+    places = pieces.repartition("ancestor_id", "lo").select("ancestor_id", "root_id", F.explode(F.expr(f"sequence(lo, least(lo + {part - 1}L, exit - 1), 1L)")).alias("entry"))
+    return places.join(on.select("root_id", "entry", "id"), ["root_id", "entry"]).select("ancestor_id", "id")

@@ -185,6 +185,12 @@ def p5_paths(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("id").alias("fact_id"), F.array_join("path", ">").alias("path"), "n_descendants")
 
 
+def p5_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """Every fact on a tree with each fact below it, from the intervals of the tour."""
+    out = hierarchy.all_descendants(stage(_tree(spark, d), "tree"))
+    return out.select(F.col("ancestor_id").alias("fact_id"), F.col("id").alias("descendant_id"))
+
+
 _P5_TREE = """
 with recursive e as (select distinct from_fact_id as p, to_fact_id as c from relatives
   where relation_kind in ('include', 'defines', 'has_field') and from_fact_id is not null and to_fact_id is not null),
@@ -201,8 +207,11 @@ P5_PATHS_SQL = _P5_TREE + """
 , below as (select a as id, count(*) - 1 as n from (select unnest(string_split(path, '>')) as a from tree) group by 1)
 select i.id as fact_id, t.path, b.n as n_descendants from ids i left join tree t on i.id = t.id left join below b on b.id = i.id
 """
+P5_DESCENDANTS_SQL = _P5_TREE + """
+, pairs as (select unnest(string_split(path, '>')) as fact_id, id as descendant_id from tree) select * from pairs where fact_id <> descendant_id
+"""
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_orphans_by_period, p2_found, p2_changes_by_store, p2_found_continued, p3_found, p3_term_frequency, p4_found, p4_per_fact, p5_found, p5_paths)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_orphans_by_period, p2_found, p2_changes_by_store, p2_found_continued, p3_found, p3_term_frequency, p4_found, p4_per_fact, p5_found, p5_paths, p5_descendants)}
 
 SQL = {
     "p1_found": P1_FOUND_SQL,
@@ -216,4 +225,5 @@ SQL = {
     "p4_per_fact": P4_PER_FACT_SQL,
     "p5_found": P5_FOUND_SQL,
     "p5_paths": P5_PATHS_SQL,
+    "p5_descendants": P5_DESCENDANTS_SQL,
 }

@@ -306,6 +306,16 @@ def test_hierarchy(spark, seed, core):
         assert {r["id"] for r in hierarchy.descendants_of(tree, roots).collect()} == {b for b in on if want[b][2][0] == "n0" and b != "n0"}
 
 
+@pytest.mark.parametrize("core", [10**6, 24])
+def test_all_descendants(spark, core):
+    links = random_forest(random.Random(3), 36)
+    tree = hierarchy.build_hierarchy(spark.createDataFrame(links, "p string, c string"), parent="p", child="c", core_rows=core).cache()
+    want = {(a, b) for b, (_, depth, path) in brute_tree(links).items() if depth >= 0 for a in path[:-1]}
+    got = rows(hierarchy.all_descendants(tree, 3), "ancestor_id", "id")
+    assert len(want) > 30 and len(got) == len(want) and set(got) == want
+    assert hierarchy.all_descendants(tree.limit(0)).count() == 0
+
+
 def test_many_small_trees_and_a_tiny_core(spark):
     links = [("r%d" % k, "c%d" % k) for k in range(8)] + [("c%d" % k, "d%d" % k) for k in range(4)] + [("x", "y"), ("y", "x"), ("y", "z")]
     tree = hierarchy.build_hierarchy(spark.createDataFrame(links, "p string, c string"), parent="p", child="c", core_rows=2)
