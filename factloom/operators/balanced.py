@@ -1,9 +1,10 @@
 """Problem 4: per-key results although a few keys hold most records.
 
-Rows are sorted by key into input partitions of equal size; a hot key simply
-fills several. Rows are counted per input partition, prefix sums of the counts
-give every row its exact number, and equal chunks of row numbers are processed
-one by one, whatever keys they hold. A chunk yields one state per key in it;
+Rows are sorted by key into input partitions of about equal size; a hot key
+simply fills several. Rows are counted per input partition, prefix sums of the
+counts give every row its exact number, and equal chunks of row numbers are
+dealt to the tasks in turn, whatever keys they hold, so that no task has more
+than one chunk more than another. A chunk yields one state per key in it;
 the states of a key that spans several chunks are merged in order, so that even
 distinct counts come out exact.
 
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from factloom.scratch import numbered, offsets_of
+from factloom.scratch import numbered, with_positions
 
 #: Into about how many chunks the rows are cut; the states of one key are at most as many.
 CHUNKS = 4096
@@ -30,34 +31,40 @@ LEAST_CHUNK = 4096
 STATES = "side string, key string, kind string, chunk bigint, place bigint, first_item string, last_item string, n bigint, n_flagged bigint, n_items bigint"
 
 
-def _states(starts: dict[int, int], size: int):
-    def run(batches):
-        for df in batches:
-            if not len(df):
-                continue
-            number = df["_p"].map(starts).to_numpy(np.int64) + df["_i"].to_numpy(np.int64)
-            chunk = number // size
-            cols = [df[c].to_numpy(dtype=object) for c in ("side", "key", "kind")]
-            fresh = np.ones(len(df), bool)
-            fresh[1:] = chunk[1:] != chunk[:-1]
-            for c in cols:
-                fresh[1:] |= c[1:] != c[:-1]
-            fresh[1:] |= number[1:] != number[:-1] + 1
-            item = df["item"].to_numpy(dtype=object)
-            known = ~df["item"].isna().to_numpy()
-            new_item = fresh.copy()
-            new_item[1:] |= item[1:] != item[:-1]
-            s = np.flatnonzero(fresh)
-            e = np.append(s[1:], len(df)) - 1
-            add = lambda x: np.add.reduceat(x.astype(np.int64), s)
-            yield pd.DataFrame(
-                {
-                    "side": cols[0][s], "key": cols[1][s], "kind": cols[2][s], "chunk": chunk[s], "place": number[s], "first_item": item[s], "last_item": item[e],
-                    "n": e - s + 1, "n_flagged": add(df["flag"].to_numpy(bool)), "n_items": add(new_item & known),
-                }
-            )
-
-    return run
+def _states(batches):
+    for df in batches:
+        if not len(df):
+            continue
+        number, chunk = df["number"].to_numpy(np.int64), df["chunk"].to_numpy(np.int64)
+        cols = [df[c].to_numpy(dtype=object) for c in ("side", "key", "kind")]
+        fresh = np.ones(len(df), bool)
+        fresh[1:] = chunk[1:] != chunk[:-1]
+        for c in cols:
+            fresh[1:] |= c[1:] != c[:-1]
+        fresh[1:] |= number[1:] != number[:-1] + 1
+        item = df["item"].to_numpy(dtype=object)
+        known = ~df["item"].isna().to_numpy()
+        new_item = fresh.copy()
+        new_item[1:] |= item[1:] != item[:-1]
+        s = np.flatnonzero(fresh)
+        e = np.append(s[1:], len(df)) - 1
+        add = lambda x: np.add.reduceat(x.astype(np.int64), s)
+        yield pd.DataFrame(
+            {
+                "side": cols[0][s], "key": cols[1][s], "kind": cols[2][s], "chunk": chunk[s], "place": number[s], "first_item": item[s], "last_item": item[e],
+                "n": e - s + 1, "n_flagged": add(df["flag"].to_numpy(bool)), "n_items": add(new_item & known),
+            }
+        )
+
+
+def chunked(rows: DataFrame) -> DataFrame:
+    """Rows in order of side, key, kind and item with their `number` and `chunk`; chunks go to the tasks in turn."""
+    cut, counts = numbered(rows, ["side", "key", "kind", "item", "spread"], "by_key")
+    total = sum(n for _, n in counts)
+    size = max(LEAST_CHUNK, -(-total // CHUNKS))
+    placed = with_positions(cut.drop("spread"), counts, "number").withColumn("chunk", F.expr(f"number div {size}"))
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return placed.repartitionById(tasks, F.expr(f"cast(chunk % {tasks} as int)")).sortWithinPartitions("number")
 
 
 def per_key(rows: DataFrame) -> DataFrame:
@@ -67,10 +74,7 @@ def per_key(rows: DataFrame) -> DataFrame:
     that tells equal rows apart, so that no value fills a partition).
     """
     sortable = rows.where("key is not null").withColumn("flag", F.coalesce("flag", F.lit(False)))
-    cut, counts = numbered(sortable, ["side", "key", "kind", "item", "spread"], "by_key")
-    total = sum(n for _, n in counts)
-    size = max(LEAST_CHUNK, -(-total // CHUNKS))
-    states = cut.drop("spread").mapInPandas(_states(dict(offsets_of(counts)), size), STATES)
+    states = chunked(sortable).mapInPandas(_states, STATES)
     in_order = Window.partitionBy("side", "key", "kind").orderBy("place")
     again = (F.lag("last_item").over(in_order) == F.col("first_item")).cast("bigint")
     return (

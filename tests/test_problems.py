@@ -252,6 +252,17 @@ def test_per_key(spark, chunk, monkeypatch):
     assert balanced.per_key(df.limit(0)).count() == 0
 
 
+def test_chunks_are_dealt_to_tasks(spark, monkeypatch):
+    monkeypatch.setattr(balanced, "LEAST_CHUNK", 10)
+    data = [("from", "hot" if n % 10 else f"k{n}", "x", None, False, n) for n in range(205)]
+    df = spark.createDataFrame(data, "side string, key string, kind string, item string, flag boolean, spread long").repartition(5)
+    got = balanced.chunked(df).withColumn("task", F.spark_partition_id()).collect()
+    assert sorted(r["number"] for r in got) == list(range(205)) and all(r["chunk"] == r["number"] // 10 for r in got)
+    assert sorted(Counter(r["task"] for r in got).values()) == [65, 70, 70]
+    assert all(len({r["task"] for r in got if r["chunk"] == c}) == 1 for c in range(21))
+    assert rows(balanced.per_key(df).where("key = 'hot'"), "n", "n_chunks") == [(184, 19)]
+
+
 # --- problem 5 -----------------------------------------------------------------------------------
 
 
