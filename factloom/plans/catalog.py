@@ -244,21 +244,37 @@ def relation_search_text(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(r["object_id"], r["hop"], r["instances"], out.status, out.total) for r in out.rows], "object_id string, hop int, instances bigint, status string, total bigint")
 
 
-@query(f"""with {VIEW},
-ends as (select to_fact_id as fact_id, 'incoming' as direction, from_fact_id as endpoint_id, * from r union all select from_fact_id, 'outgoing', to_fact_id, * from r),
+PREVIEW = """ends as (select to_fact_id as fact_id, 'incoming' as direction, from_fact_id as endpoint_id, * from r union all select from_fact_id, 'outgoing', to_fact_id, * from r),
 e as (select * from ends where fact_id is not null and endpoint_id is not null),
 tot as (select fact_id, direction, relation_kind, count(*) as bucket_total from e group by all),
 fetched as (select * from e qualify row_number() over (partition by fact_id, direction, relation_kind order by endpoint_id, relative_id) <= 100),
 g as (select fact_id, direction, relation_kind, endpoint_id, count(*) as instances, bool_or(condition is null) as unc, arg_min(relative_id, ((condition is not null)::int, coalesce(evidence_source, ''), relative_id)) as representative from fetched group by all),
 n as (select g.*, f.object_id is null as missing, coalesce(case when f.object_id is not null then coalesce(f.object_name, '') end, g.endpoint_id) as endpoint_name, coalesce(f.source_path, '<missing-endpoint>') as endpoint_file from g left join f on f.object_id = g.endpoint_id),
 n2 as (select *, count(*) over (partition by fact_id, direction, relation_kind) > 25 and row_number() over (partition by fact_id, direction, relation_kind, endpoint_file order by instances desc, unc desc, missing, endpoint_name, endpoint_file, representative) > 2 as late from n),
-n3 as (select *, row_number() over (partition by fact_id, direction, relation_kind order by late, instances desc, unc desc, missing, endpoint_name, endpoint_file, representative) as place from n2 qualify place <= 25)
+n3 as (select *, row_number() over (partition by fact_id, direction, relation_kind order by late, instances desc, unc desc, missing, endpoint_name, endpoint_file, representative) as place from n2 qualify place <= 25)"""
+
+
+@query(f"""with {VIEW},
+{PREVIEW}
 select fact_id, direction, relation_kind, endpoint_id, endpoint_name, endpoint_file, instances, representative, place::int as place, bucket_total from n3 join tot using (fact_id, direction, relation_kind)""")
 def relation_preview(spark: SparkSession, d: str) -> DataFrame:
     """The relation preview of every fact: buckets, rollups, at most two endpoints of a file first."""
     return detail.preview(base_view(spark, d)).select("fact_id", "direction", "relation_kind", "endpoint_id", "endpoint_name", "endpoint_file", "instances", "representative", "place", "bucket_total")
 
 
+BUCKET_RANK = "case direction || '/' || relation_kind " + " ".join(f"when '{d}/{k}' then {i}" for i, (d, k) in enumerate(detail.bucket_keys())) + f" else {len(detail.bucket_keys())} end"
+
+
+@query(f"""with {VIEW},
+{PREVIEW},
+cond as (select fact_id, direction, relation_kind, endpoint_id, list_sort(list_distinct(list(json_merge_patch('{{}}', to_json(condition))::varchar) filter (condition is not null))) as conditions from fetched group by all),
+flat as (select *, row_number() over (partition by fact_id order by place, {BUCKET_RANK}, direction, relation_kind)::int as flat_place from n3 qualify flat_place <= 8)
+select fact_id, direction, relation_kind, endpoint_id, flat_place, coalesce(conditions, []) as conditions from flat join cond using (fact_id, direction, relation_kind, endpoint_id)""")
+def relation_preview_sample(spark: SparkSession, d: str) -> DataFrame:
+    """The round-robin sample over the preview's buckets of every fact, with the conditions of its endpoints."""
+    return detail.preview(base_view(spark, d)).where("flat_place is not null").select("fact_id", "direction", "relation_kind", "endpoint_id", "flat_place", "conditions")
+
+
 # --- overlays, merges, snapshots -----------------------------------------------------------------
 
 OVER = """

@@ -136,6 +136,19 @@ def test_preview_and_detail(spark):
     assert detail.bucket_keys()[:4] == [("incoming", "direct_call"), ("outgoing", "direct_call"), ("incoming", "field_read"), ("incoming", "field_write")] and len(detail.bucket_keys()) == 18
 
 
+def test_preview_sample_query(spark, monkeypatch):
+    from factloom.plans import catalog
+
+    cond = ("branch", "x", None, None)
+    v = view(spark, [fact("f", "field", "field")] + [fact(f"c{k:02}") for k in range(12)], [edge(f"c{k:02}", "f", "field_read", cond=cond if k == 1 else None) for k in range(12)] + [edge("f", "c03", "direct_call")])
+    monkeypatch.setattr(catalog, "base_view", lambda *_: v)
+    got = catalog.relation_preview_sample(spark, "").where("fact_id = 'f'").orderBy("flat_place").collect()
+    assert [(r["flat_place"], r["relation_kind"]) for r in got] == [(1, "direct_call"), *((k, "field_read") for k in range(2, 9))]
+    assert all(r["conditions"] == [] for r in got)
+    seen = catalog.relation_preview_sample(spark, "").where("fact_id = 'c01'").collect()
+    assert [(r["direction"], r["endpoint_id"], r["conditions"]) for r in seen] == [("outgoing", "f", ['{"kind":"branch","expression":"x"}'])]
+
+
 def test_overlay(spark):
     base = view(spark, [fact("old", source_id="source:a"), fact("keep"), fact("dead")], [edge("old", "keep"), edge("keep", "dead"), edge("keep", "keep", rid="self")])
     lines = spark.createDataFrame(
