@@ -57,7 +57,7 @@ def merge_spool(df: DataFrame, key: str, payload: str, seq: str) -> DataFrame:
     Adds `conflict`: true if at the lowest seq no payload contains all others.
     """
     low = df.groupBy(key).agg(F.min(seq).alias("_s"))
-    tied = df.join(low, key).where(F.col(seq) == F.col("_s")).select(key, canonical_json(F.col(payload)).alias("p"), F.col(seq).alias("seq")).distinct()
+    tied = df.join(low, key).where(F.col(seq).eqNullSafe(F.col("_s"))).select(key, canonical_json(F.col(payload)).alias("p"), F.col(seq).alias("seq")).distinct()
     sizes = tied.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min("p").alias("p"), F.min("seq").alias("seq"))
     alone = sizes.where("n = 1").select(key, F.col("p").alias("payload"), "seq", F.lit(False).alias("conflict"))
     # Only payloads that differ as values meet, and only those of the lowest seq; copies are gone by now.

@@ -329,7 +329,7 @@ def merge_conflicts(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def merge_spool(spark: SparkSession, d: str) -> DataFrame:
     """Fact payloads merged by id: the first delivery wins, of equals the larger one."""
-    return ingest.merge_spool(table(spark, d, "facts").where("object_id is not null").withColumn("seq", F.lit(0)), "object_id", "payload", "seq")
+    return ingest.merge_spool(table(spark, d, "facts").where("object_id is not null").withColumn("seq", F.col("ingested_at")), "object_id", "payload", "seq")
 
 
 @query("select object_id, max((delivered_at, snapshot_id))[1] as delivered_at, max((delivered_at, snapshot_id))[2] as snapshot_id from fact_snapshots group by 1")

@@ -144,6 +144,16 @@ def test_census(spark):
     assert census.content_digest(files.select("path", F.col("text").alias("sha256"))).first()["n_files"] == 3
 
 
+def test_merge_spool_query_takes_the_first_delivery(spark, monkeypatch):
+    from datetime import datetime
+
+    from factloom.plans import catalog
+
+    lines = [("a", '{"x":1,"y":2}', datetime(2024, 1, 2)), ("a", '{"x":1}', datetime(2024, 1, 1)), ("b", '{"x":1}', datetime(2024, 1, 1)), ("b", '{"y":2,"x":1}', datetime(2024, 1, 1)), ("c", "{}", None), (None, "{}", datetime(2024, 1, 1))]
+    monkeypatch.setattr(catalog, "table", lambda *_: spark.createDataFrame(lines, "object_id string, payload string, ingested_at timestamp_ntz"))
+    assert rows(catalog.merge_spool(spark, ""), "object_id", "payload", "seq", "conflict") == [("a", '{"x":1}', datetime(2024, 1, 1), False), ("b", '{"x":1,"y":2}', datetime(2024, 1, 1), False), ("c", "{}", None, False)]
+
+
 def test_include_chains_of_any_length(spark):
     links = [(f"h{k}", f"h{k + 1}") for k in range(67)] + [("h67", "h5")]
     out = census.include_closure(spark.createDataFrame(links, "src string, dst string").coalesce(1), spark.createDataFrame([("h0",), (None,)], "path string"))
