@@ -70,8 +70,8 @@ def chunked(rows: DataFrame) -> DataFrame:
 def per_key(rows: DataFrame) -> DataFrame:
     """Results per (side, key, kind): n, n_flagged (rows with `flag`), n_items (distinct `item`), n_chunks.
 
-    `rows`: side, key, kind, item (strings), flag (boolean), spread (any column
-    that tells equal rows apart, so that no value fills a partition).
+    `rows`: side, key, kind, item (strings), flag (boolean), spread (a column
+    that tells all rows apart, repeats too, so that no value fills a partition).
     """
     sortable = rows.where("key is not null").withColumn("flag", F.coalesce("flag", F.lit(False)))
     states = chunked(sortable).mapInPandas(_states, STATES)
@@ -90,9 +90,9 @@ def heavy_keys(results: DataFrame, total: int, share: float) -> DataFrame:
 
 
 def edge_ends(relatives: DataFrame) -> DataFrame:
-    """The two ends of each edge, as rows for `per_key`."""
+    """The two ends of each edge, as rows for `per_key`; `spread` is the place in the scan, which a retry repeats."""
     ends = F.array(F.struct(F.lit("from").alias("side"), F.col("from_fact_id").alias("key")), F.struct(F.lit("to").alias("side"), F.col("to_fact_id").alias("key")))
     file = F.regexp_replace("evidence_source", r":[0-9]+$", "")
     return relatives.select(
-        F.explode(ends).alias("x"), F.col("relation_kind").alias("kind"), file.alias("item"), F.col("condition").isNotNull().alias("flag"), F.xxhash64("relative_id", "ingested_at").alias("spread")
+        F.explode(ends).alias("x"), F.col("relation_kind").alias("kind"), file.alias("item"), F.col("condition").isNotNull().alias("flag"), F.monotonically_increasing_id().alias("spread")
     ).select("x.*", "kind", "item", "flag", "spread")

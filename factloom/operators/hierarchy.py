@@ -274,13 +274,16 @@ def placed(leaves: DataFrame, part: int = 4096) -> DataFrame:
 def with_paths(tree: DataFrame) -> DataFrame:
     """Adds `path`, the ids from root to node, of every node on a tree (null otherwise).
 
-    Doubling over the parent links: about log2(depth) joins. A path is as long
-    as its node is deep, so this output, unlike the intervals, is not linear.
+    Doubling over the parent links: about log2(depth) joins, spread where many
+    nodes share an ancestor; paths that are complete are not joined again. A
+    path is as long as its node is deep, so this output, unlike the intervals,
+    is not linear.
     """
     here = stage(tree.select("id", F.when(F.col("depth") > 0, F.col("parent_id")).alias("up"), F.when(F.col("depth") >= 0, F.array("id")).alias("path")), "paths")
     while here.where("up is not null").limit(1).count():
         above = here.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("path").alias("path2"))
-        new = stage(here.join(above, "up", "left").select("id", F.col("up2").alias("up"), F.when(F.col("path2").isNotNull(), F.concat("path2", "path")).otherwise(F.col("path")).alias("path")), "paths")
+        moved = spread_join(here.where("up is not null"), above, "up", ["id"]).select("id", F.col("up2").alias("up"), F.concat("path2", "path").alias("path"))
+        new = stage(here.where("up is null").unionByName(moved), "paths")
         drop_staged(here)
         here = new
     return tree.join(here.select("id", "path"), "id")

@@ -17,10 +17,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: A key is hot when it holds more than this share of all rows; at most 1/share keys can be.
-HOT_SHARE = 0.01
-#: Into how many parts the rows of a hot key are spread.
-SALTS = 32
+#: A part of a hot key holds at least and at most about so many rows; in between a quarter of an average partition.
+LEAST_PART, MOST_PART = 10_000, 1_000_000
+#: So many keys at most are split, which bounds what is collected and broadcast; parts grow beyond it.
+MOST_HOT = 20_000
 
 _roots: dict[str, str] = {}
 
@@ -67,32 +67,45 @@ def clear(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def hot_of(counted: DataFrame, key: str, n: str = "n", share: float = HOT_SHARE) -> list:
-    """Non-null keys of a table of keys and row counts that hold more than `share` of the rows: at most 1/share of them."""
-    known = F.col(key).isNotNull()
-    whole = counted.agg(F.sum(n).alias("total"), F.max(F.when(known, F.col(n))).alias("most")).first()
-    if not whole["most"] or whole["most"] <= share * whole["total"]:
+def part_rows(total: int, partitions: int) -> int:
+    """How many rows of one key may stay together, of `total` rows in so many partitions."""
+    return max(LEAST_PART, -(-total // MOST_HOT), min(MOST_PART, total // (4 * max(1, partitions))))
+
+
+def hot_of(counted: DataFrame, key: str, n: str = "n") -> list[tuple]:
+    """(key, parts) of the keys of a table of keys and row counts that are too large for one part, each into parts of `part_rows`.
+
+    What is collected has at most MOST_HOT rows by arithmetic. A null key may be among them.
+    """
+    whole = counted.agg(F.sum(n).alias("total"), F.max(n).alias("most")).first()
+    size = part_rows(whole["total"] or 0, int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    if not whole["most"] or whole["most"] <= size:
         return []
-    return [r[0] for r in counted.where(known & (F.col(n) > share * whole["total"])).select(key).collect()]
+    return [(r[0], -(-r[1] // size)) for r in counted.where(F.col(n) > size).select(key, n).collect()]
 
 
-def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> list:
+def hot_keys(df: DataFrame, key: str) -> list[tuple]:
     """`hot_of` for rows that are not counted yet."""
-    return hot_of(df.groupBy(key).agg(F.count(F.lit(1)).alias("n")), key, "n", share)
+    return hot_of(df.groupBy(key).agg(F.count(F.lit(1)).alias("n")), key)
 
 
-def skew_join(left: DataFrame, right: DataFrame, key: str, spread: list[str], hot: list, how: str = "inner") -> DataFrame:
-    """Join on `key`, with the left rows of each hot key in SALTS parts.
+def skew_join(left: DataFrame, right: DataFrame, key: str, spread: list[str], hot: list[tuple], how: str = "inner") -> DataFrame:
+    """Join on `key`, with the left rows of each hot key in as many parts as `hot` says.
 
     The right rows of hot keys are repeated once per part; callers keep them
     few per key. The part follows from the columns `spread`, so that a task
-    that runs again sends each row to the same place.
+    that runs again sends each row to the same place. Null keys, which meet
+    nothing, are spread as well where an outer join keeps them.
     """
     if not hot:
         return left.join(right, key, how)
-    is_hot = F.col(key).isin(hot)
-    salted = left.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")).otherwise(F.lit(0)))
-    copies = right.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    named = [(k, n) for k, n in hot if k is not None]
+    kind = left.schema[key].dataType.simpleString()
+    parts = F.broadcast(left.sparkSession.createDataFrame(named, f"`{key}` {kind}, _parts bigint"))  # at most MOST_HOT rows
+    nulls = next((n for k, n in hot if k is None), 1)
+    n_parts = F.when(F.col(key).isNull(), F.lit(nulls)).otherwise(F.coalesce("_parts", F.lit(1)))
+    salted = left.join(parts, key, "left").withColumn("_salt", F.pmod(F.xxhash64(*spread), n_parts)).drop("_parts")
+    copies = right.join(parts, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
     return salted.join(copies, [key, "_salt"], how).drop("_salt")
 
 
@@ -160,13 +173,17 @@ def asof_state(events: DataFrame) -> DataFrame:
     `events`: id, t, state (null for a question), other columns. A change at
     the very time of a question counts; of several changes at one time the
     largest state wins. Rows of one id may fill any number of partitions: they
-    are sorted by (id, t), and one carried state per partition (collected: a
-    row per partition) joins the pieces. Returns the questions, `state` filled
-    in or null if no change precedes.
+    are sorted by (id, t), rows of one id and moment by a hash of their other
+    columns, and one carried state per partition (collected: a row per
+    partition) joins the pieces. Only rows that are equal in all columns stay
+    together, so callers leave out repeats. Returns the questions, `state`
+    filled in or null if no change precedes.
     """
     spark = events.sparkSession
     ask = F.when(F.col("state").isNull(), 1).otherwise(0)
-    cut, _ = numbered(events.withColumn("_ask", ask), ["id", "t", "_ask", "state"], "asof")
+    rest = [c for c in events.columns if c not in ("id", "t", "state")]
+    apart = F.xxhash64(*rest) if rest else F.lit(0).cast("bigint")
+    cut, _ = numbered(events.withColumns({"_ask": ask, "_apart": apart}), ["id", "t", "_ask", "state", "_apart"], "asof")
     edges = cut.groupBy("_p").agg(
         F.min("id").alias("first_id"),
         F.max("id").alias("last_id"),
@@ -183,4 +200,4 @@ def asof_state(events: DataFrame) -> DataFrame:
     carry = spark.createDataFrame(carried, "_p int, id string, _carried int")
     within = Window.partitionBy("_p", "id").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
     filled = cut.withColumn("_last", F.last("state", ignorenulls=True).over(within)).where("_ask = 1")
-    return filled.join(F.broadcast(carry), ["_p", "id"], "left").withColumn("state", F.coalesce("_last", "_carried")).drop("_p", "_i", "_ask", "_last", "_carried")
+    return filled.join(F.broadcast(carry), ["_p", "id"], "left").withColumn("state", F.coalesce("_last", "_carried")).drop("_p", "_i", "_ask", "_apart", "_last", "_carried")

@@ -9,6 +9,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from factloom import scratch
 from factloom.functions import bitmap
 from factloom.functions.canonical import canonical
 from factloom.operators import balanced, frequency, hierarchy, orphans, snapshot_diff
@@ -50,10 +51,60 @@ def test_staged_tables_can_be_dropped(spark):
 
 
 def test_skew_join_equals_plain_join(spark):
-    left = spark.range(500).select(F.when(F.col("id") < 300, 1).otherwise(F.col("id")).alias("k"), "id")
+    left = spark.range(500).select(F.when(F.col("id") < 300, 1).when(F.col("id") < 450, F.col("id")).alias("k"), "id")
     right = spark.range(400).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
     for how in ("inner", "left", "left_semi", "left_anti"):
-        assert rows(skew_join(left, right, "k", ["id"], [1], how)) == rows(left.join(right, "k", how))
+        assert rows(skew_join(left, right, "k", ["id"], [(1, 7), (None, 3)], how)) == rows(left.join(right, "k", how))
+
+
+@pytest.fixture
+def plain_shuffles(spark):
+    """16 partitions that stay as they are, and no broadcasts but those asked for."""
+    settings = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_hot_keys_are_those_of_many_rows(spark, plain_shuffles, monkeypatch):
+    """A key of half the rows, one of 0.9 % of them, and nulls: no partition of the join has more than twice the mean."""
+    monkeypatch.setattr(scratch, "LEAST_PART", 100)
+    n = 100_000
+    key = F.when(F.col("id") < n // 2, -1).when(F.col("id") < n // 2 + n * 9 // 1000, -2).when(F.col("id") < n * 6 // 10, None).otherwise(F.col("id") % 20_000)
+    left = spark.range(n).select(key.alias("k"), "id")
+    right = left.select("k").distinct().dropna().withColumn("v", F.lit(1))
+    hot = scratch.hot_keys(left, "k")
+    assert dict(hot).keys() == {-1, None} and scratch.part_rows(n, 16) == n // 64 > n * 9 // 1000
+    for how in ("inner", "left"):
+        out = skew_join(left, right, "k", ["id"], hot, how).groupBy(F.spark_partition_id().alias("p")).count().collect()
+        total = sum(r["count"] for r in out)
+        assert total == (n if how == "left" else left.dropna().count()) and max(r["count"] for r in out) <= 2 * total / 16
+
+
+def test_one_moment_of_one_id_fills_many_partitions(spark, plain_shuffles):
+    ask = spark.range(200_000).select(F.lit("x").alias("id"), F.lit(at(1)).alias("t"), F.lit(None).cast("int").alias("state"), F.col("id").alias("child"))
+    told = spark.createDataFrame([("x", at(0), 1, -1)], ask.schema)
+    events = ask.unionByName(told)
+    cut, counts = numbered(events.withColumn("_apart", F.xxhash64("child")), ["id", "t", "state", "_apart"])
+    assert max(n for _, n in counts) <= 2 * 200_001 / 16
+    assert asof_state(events).where("state = 1").count() == 200_000
+
+
+def test_undated_changes_come_last(spark):
+    child = spark.createDataFrame([("undated", "x", None), ("dated", "x", at(5)), ("new", "y", None), ("early", "y", at(5))], "c string, f string, r timestamp_ntz")
+    parent = spark.createDataFrame([("x", at(1), False), ("x", None, True), ("x", None, True), ("y", None, False)], "k string, w timestamp_ntz, d boolean")
+    found = orphans.find_orphans(child, parent, child_id="c", ref_fields=["f"], arrived_at="r", parent_id="k", changed_at="w", deleted="d")
+    assert rows(found, "c", "reason") == [("early", "late"), ("undated", "deleted")]
+
+
+@pytest.mark.parametrize("n", [0, 1, 4])
+def test_ordinals_never_collide(spark, n):
+    known = dense_ordinals(spark.createDataFrame([(f"k{i}",) for i in range(n)], "k string"), ["k"])
+    out = dense_ordinals(spark.createDataFrame([(c,) for c in "abc"], "k string"), ["k"], known=known)
+    assert sorted(r["ordinal"] for r in out.collect()) == list(range(n + 3))
 
 
 @pytest.mark.parametrize("seed", range(2))
@@ -87,8 +138,8 @@ def brute_orphans(children, changes, eternal):
         for field, key in (("f", f), ("t", t)):
             if key is None or key in eternal:
                 continue
-            mine = [(w, d) for k, w, d in changes if k == key]
-            past = [(w, d) for w, d in mine if w is not None and (r is None or w <= r)]
+            mine = [(float("inf") if w is None else w, d) for k, w, d in changes if k == key]  # undated: after all
+            past = [(w, d) for w, d in mine if r is None or w <= r]
             reason = "missing" if not mine else "late" if not past else "deleted" if max(past)[1] else None
             if reason:
                 out.add((c, field, key, reason))
