@@ -5,9 +5,13 @@ Null paths and ids are left out. Repeated rows of a path count once (largest row
 
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.functions.digest import tree_digest
 from factloom.functions.paths import source_file
 from factloom.plans.model import lookup
 from factloom.scratch import spread_join, stage
@@ -31,24 +35,40 @@ def census_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.select("path", status.alias("status")).where("status is not null")
 
 
-def content_digest(files: DataFrame, group: list[str] = (), path: str = "path", sha: str = "sha256") -> DataFrame:
-    """One digest per group over its files in order of path, and their number.
+def file_line(path: Column, sha: Column) -> Column:
+    """What a digest covers of a file: `path NUL sha NUL`; null without a path."""
+    return F.concat(path, F.lit("\0"), F.coalesce(sha, F.lit("")), F.lit("\0"))
 
-    The digest covers `path NUL sha NUL` of every file, hashed in two levels:
-    per leading directory, then over the directories, so that no group meets in
-    one row unless it has one directory only.
-    """
-    top = F.regexp_extract(path, "^([^/]*)/", 1)
-    line = F.concat(F.col(path), F.lit("\0"), F.coalesce(F.col(sha), F.lit("")), F.lit("\0"))
-    digest = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), ""), 256)
-    per = files.where(F.col(path).isNotNull()).groupBy(*group, top.alias("_top")).agg(digest(line).alias("_d"), F.count(F.lit(1)).alias("n"))
-    return per.groupBy(*group).agg(digest(F.concat("_top", F.lit("\0"), "_d", F.lit("\0"))).alias("digest"), F.sum("n").alias("n_files"))
+
+def content_digest(files: DataFrame, group: list[str] = (), path: str = "path", sha: str = "sha256") -> DataFrame:
+    """(group, digest, n_files): one digest per group over its files, by `tree_digest`, so that no group meets in one row. Repeated rows of a file count once."""
+    lines = files.select(*group, file_line(F.col(path), F.col(sha)).alias("line")).distinct()
+    return tree_digest(lines, list(group)).withColumnRenamed("n", "n_files")
 
 
 def flat_digest(files: DataFrame, group: list[str], path: str = "path", sha: str = "sha256") -> DataFrame:
-    """The one-level digest of small groups: sha256 over `path NUL sha NUL` in order of path."""
-    line = F.concat(F.col(path), F.lit("\0"), F.coalesce(F.col(sha), F.lit("")), F.lit("\0"))
-    return files.where(F.col(path).isNotNull()).groupBy(*group).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), ""), 256).alias("digest"), F.count(F.lit(1)).alias("n_files"))
+    """(group, digest, n_files): sha256 over `path NUL sha NUL` of all files in order of path, as external tools compute it.
+
+    Such a digest can't be split, so one task reads a group; but it reads it
+    sorted, row by row, and holds the running hash only.
+    """
+
+    def run(batches):
+        now, running, n = None, None, 0
+        for df in batches:
+            for key, line in zip(df[list(group)].itertuples(index=False, name=None), df["_line"]):
+                if running is None or key != now:
+                    if running is not None:
+                        yield pd.DataFrame([(*now, running.hexdigest(), n)], columns=[*group, "digest", "n_files"])
+                    now, running, n = key, hashlib.sha256(), 0
+                running.update(line.encode())
+                n += 1
+        if running is not None:
+            yield pd.DataFrame([(*now, running.hexdigest(), n)], columns=[*group, "digest", "n_files"])
+
+    lines = files.select(*group, F.col(path).alias("_path"), file_line(F.col(path), F.col(sha)).alias("_line")).where("_line is not null")
+    schema = ", ".join(f"`{c}` {files.schema[c].dataType.simpleString()}" for c in group) + ", digest string, n_files bigint"
+    return lines.repartition(*group).sortWithinPartitions(*group, "_path", "_line").drop("_path").mapInPandas(run, schema)
 
 
 def may_have_changed(size: Column, mtime: Column, size_now: Column, mtime_now: Column) -> Column:

@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from factloom.functions.fold import casefold
 from factloom.operators.search import owner_alias_match, term_score
@@ -97,17 +98,20 @@ def with_endpoints(rolled: DataFrame, facts: DataFrame, spec: RelationQuery | No
 def one_hop(view: View, anchor_id: str, kinds: list[str], direction: str) -> DataFrame:
     """Edges of an anchor, with `endpoint_id` and hop 1."""
     near, far = ("to_fact_id", "from_fact_id") if direction == "incoming" else ("from_fact_id", "to_fact_id")
-    return view.relatives.where((F.col(near) == anchor_id) & F.col("relation_kind").isin(list(kinds))).withColumn("endpoint_id", F.col(far)).withColumn("hop", F.lit(1)).where("endpoint_id is not null")
+    return view.edges_at(near).where((F.col(near) == anchor_id) & F.col("relation_kind").isin(list(kinds))).withColumn("endpoint_id", F.col(far)).withColumn("hop", F.lit(1)).where("endpoint_id is not null")
 
 
 def relatives_of(view: View, fact_id: str, direction: str = "both", kind: str | None = None) -> DataFrame:
     """Edges of a fact with both ends visible, in order of kind, ends and id."""
     if direction not in ("incoming", "outgoing", "both"):
         raise QueryError("invalid_direction", "direction must be incoming, outgoing, or both")
-    into, out = F.col("to_fact_id") == fact_id, F.col("from_fact_id") == fact_id
-    near = view.relatives.where({"incoming": into, "outgoing": out, "both": into | out}[direction])
-    near = near if kind is None else near.where(F.col("relation_kind") == kind)
-    return View(view.facts, near).connected().orderBy("relation_kind", "from_fact_id", "to_fact_id", "relative_id")
+    near = {"incoming": ["to_fact_id"], "outgoing": ["from_fact_id"], "both": ["to_fact_id", "from_fact_id"]}[direction]
+    found = None
+    for end in near:  # each end from the copy sorted by it; a loop on the fact comes in once
+        edges = view.edges_at(end).where(F.col(end) == fact_id)
+        found = edges if found is None else found.unionByName(edges.where(~F.col("to_fact_id").eqNullSafe(fact_id)))
+    found = found if kind is None else found.where(F.col("relation_kind") == kind)
+    return View(view.facts, found, whole=view.whole).connected().orderBy("relation_kind", "from_fact_id", "to_fact_id", "relative_id")
 
 
 # --- call edges ----------------------------------------------------------------------------------
@@ -115,31 +119,47 @@ def relatives_of(view: View, fact_id: str, direction: str = "both", kind: str |
 
 @dataclass
 class Calls:
-    """What call edges are made of, staged; dispatches are joined with assignments only where a walk passes."""
+    """What call edges are made of; dispatches are joined with assignments only where a walk passes."""
 
     direct: DataFrame  # from_id, to_id, relative columns
     dispatch: DataFrame  # from_id, slot, relative columns
     assigned: DataFrame  # slot, to_id, each pair once
+    direct_in: DataFrame | None = None  # direct, from the copy sorted by its to_id
 
 
 def call_graph(view: View) -> Calls:
-    used = view.relatives.where(F.col("relation_kind").isin("direct_call", "assigned_to", "dispatches_via"))
-    edges = stage(View(view.facts, used).connected(), "call_relatives")
+    """The call edges of a view. Those of a store are read from its sorted copies; others are staged."""
+    named = lambda df: df.where("relation_kind = 'direct_call'").withColumns({"from_id": F.col("from_fact_id"), "to_id": F.col("to_fact_id")})
+    if view.whole and view.by_to is not None:
+        edges = view.relatives
+    else:
+        used = view.relatives.where(F.col("relation_kind").isin("direct_call", "assigned_to", "dispatches_via"))
+        edges = stage(View(view.facts, used).connected(), "call_relatives")
     return Calls(
-        edges.where("relation_kind = 'direct_call'").withColumns({"from_id": F.col("from_fact_id"), "to_id": F.col("to_fact_id")}),
+        named(edges),
         edges.where("relation_kind = 'dispatches_via'").withColumns({"from_id": F.col("from_fact_id"), "slot": F.col("to_fact_id")}),
         edges.where("relation_kind = 'assigned_to'").select(F.col("from_fact_id").alias("slot"), F.col("to_fact_id").alias("to_id")).distinct(),
+        named(view.by_to) if view.whole and view.by_to is not None else None,
     )
 
 
-def call_edges(calls: Calls) -> DataFrame:
-    """(from_id, to_id, relative columns): direct calls, and dispatches joined with what the slot was assigned.
+def call_classes(calls: Calls) -> DataFrame:
+    """Call edges in factored form: (slot, role, fact_id, relation_kind, n).
 
-    A dispatch runs from its source to every fact assigned to the slot; the edge
-    shown is the dispatch. A slot with d dispatches and a assignments gives d * a
-    edges, which is the result asked for; walks never build them all.
+    A dispatch runs from its source to every fact assigned to the slot, so a slot
+    with d dispatches and a assignments stands for d * a edges. They are not
+    expanded: a slot is a class, its sources and its targets are the members,
+    and an edge runs from each source to each target, as often as n of the source
+    says; a slot with members of one role only has no edges. Direct calls are `direct_pairs`.
     """
-    return calls.direct.unionByName(spread_join(calls.dispatch, calls.assigned, "slot", ["relative_id"]).drop("slot"))
+    source = calls.dispatch.groupBy("slot", "from_id", "relation_kind").agg(F.count(F.lit(1)).alias("n")).select("slot", F.lit("source").alias("role"), F.col("from_id").alias("fact_id"), "relation_kind", "n")
+    target = calls.assigned.select("slot", F.lit("target").alias("role"), F.col("to_id").alias("fact_id"), F.lit("assigned_to").alias("relation_kind"), F.lit(1).cast("bigint").alias("n"))
+    return source.unionByName(target)
+
+
+def direct_pairs(calls: Calls) -> DataFrame:
+    """(from_id, to_id, n) of the direct calls."""
+    return calls.direct.groupBy("from_id", "to_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _step(calls: Calls, frontier: DataFrame, direction: str) -> DataFrame:
@@ -151,7 +171,8 @@ def _step(calls: Calls, frontier: DataFrame, direction: str) -> DataFrame:
         per_slot = at.groupBy("slot", "relation_kind").agg(F.count(F.lit(1)).alias("n"), F.min(representative()).alias("rep"), F.bool_or(F.col("condition").isNull()).alias("unconditional"))
         via = spread_join(calls.assigned, per_slot, "slot", ["to_id"]).select(F.col("to_id").alias("endpoint_id"), "relation_kind", "n", "rep", "unconditional")
     else:
-        direct = plain(calls.direct.join(frontier.withColumnRenamed("id", "to_id"), "to_id", "left_semi"), "from_id", F.lit(1))
+        into = calls.direct if calls.direct_in is None else calls.direct_in
+        direct = plain(into.join(frontier.withColumnRenamed("id", "to_id"), "to_id", "left_semi"), "from_id", F.lit(1))
         per_slot = calls.assigned.join(frontier.withColumnRenamed("id", "to_id"), "to_id", "left_semi").groupBy("slot").agg(F.count(F.lit(1)).alias("k"))
         via = plain(spread_join(calls.dispatch, per_slot, "slot", ["relative_id"]), "from_id", F.col("k"))
     return direct.unionByName(via)
@@ -264,13 +285,52 @@ def relation_search(view: View, query: str | RelationQuery, limit: int = 20, cal
 
 
 def _frontier_edges(view: View, calls: Calls, frontier: list[str], direction: str, most: int) -> list:
-    """Edges of a frontier in traversal order, at most `most`; the frontier has at most VISIT_BUDGET ids and is broadcast."""
-    near, far = ("from_id", "to_id") if direction == "outgoing" else ("to_id", "from_id")
-    ids = F.broadcast(view.facts.sparkSession.createDataFrame([(i,) for i in frontier], f"{near} string"))
-    passed = calls.dispatch.join(ids, near).join(calls.assigned, "slot") if direction == "outgoing" else calls.dispatch.join(calls.assigned.join(ids, near), "slot")
-    edges = calls.direct.join(ids, near).unionByName(passed.drop("slot"))
-    named = edges.withColumn("object_id", F.col(far)).select("relative_id", "relation_kind", "condition", F.col(near).alias("source"), "object_id").join(view.facts.select("object_id", "object_name", "object_source"), "object_id")
-    return named.orderBy("source", "object_name", "object_source", "relative_id", "object_id").limit(most).collect()
+    """Edges of a frontier in traversal order, at most `most`; the frontier has at most VISIT_BUDGET ids and is broadcast.
+
+    A slot with d dispatches and a assignments stands for d * a edges, which are
+    not built to be cut afterwards: edges are counted per source first, and only
+    sources that begin within the budget are followed; of a slot's far side only
+    as many facts in order are taken as `most` edges can use.
+    """
+    spark = view.facts.sparkSession
+    outgoing = direction == "outgoing"
+    near, far = ("from_id", "to_id") if outgoing else ("to_id", "from_id")
+    base = calls.direct if outgoing or calls.direct_in is None else calls.direct_in
+    # Both sides of a slot, as seen from the frontier: (near, slot, m), and (slot, far, relative columns or none).
+    here, there = (calls.dispatch, calls.assigned) if outgoing else (calls.assigned, calls.dispatch)
+    ids = F.broadcast(spark.createDataFrame([(i,) for i in frontier], f"{near} string"))
+    direct = base.join(ids, near)
+    slots = here.join(ids, near).groupBy(near, "slot").agg(F.count(F.lit(1)).alias("m"))
+    far_sizes = there.groupBy("slot").agg(F.count(F.lit(1)).alias("a"))
+    via = stage(slots.join(far_sizes, "slot"), "slots")
+    sums = direct.groupBy(near).agg(F.count(F.lit(1)).alias("n")).unionByName(via.groupBy(near).agg(F.sum(F.col("m") * F.col("a")).alias("n")))
+    kept, n = [], 0
+    for r in sums.groupBy(near).agg(F.sum("n").alias("n")).orderBy(near).collect():  # a row per id of the frontier
+        if n >= most:
+            break
+        kept.append((r[0],))
+        n += r["n"]
+    if not kept:
+        return []
+    ids = F.broadcast(spark.createDataFrame(kept, f"{near} string"))
+    names = view.facts.select("object_id", "object_name", "object_source")
+    shown = ["relative_id", "relation_kind", "condition", "source", "object_id", "object_name", "object_source"]
+    plain = base.join(ids, near).select("relative_id", "relation_kind", "condition", F.col(near).alias("source"), F.col(far).alias("object_id")).join(names, "object_id").select(*shown)
+    live = via.join(ids, near)
+    wanted = there.join(live.select("slot").distinct(), "slot", "left_semi").withColumn("object_id", F.col(far)).join(names, "object_id")
+    # Equal ranks stay together, since between them the order goes on by the relative. Two levels, so that no slot is ranked by one task alone.
+    order = ["object_name", "object_source"] if outgoing else ["object_name", "object_source", "relative_id", "object_id"]
+    part = wanted.withColumn("_part", F.pmod(F.xxhash64("object_id"), F.lit(64)))
+    part = part.withColumn("_k", F.rank().over(Window.partitionBy("slot", "_part").orderBy(*order))).where(F.col("_k") <= most)
+    ranked = part.withColumn("_k", F.rank().over(Window.partitionBy("slot").orderBy(*order))).where(F.col("_k") <= most)
+    use = live.join(ranked, "slot").where(F.col("_k") <= F.ceil(F.lit(most) / F.col("m")))
+    if outgoing:  # the relatives of this source and slot, once for each target that is left
+        sent = calls.dispatch.join(ids, near).select(near, "slot", "relative_id", "relation_kind", "condition")
+        passed = use.select(near, "slot", "object_id", "object_name", "object_source").join(sent, [near, "slot"])
+    else:
+        passed = use
+    passed = passed.select("relative_id", "relation_kind", "condition", F.col(near).alias("source"), "object_id", "object_name", "object_source")
+    return plain.unionByName(passed).orderBy("source", "object_name", "object_source", "relative_id", "object_id").limit(most).collect()
 
 
 def _walk(view, calls, anchor, spec, out, edge_budget, visit_budget) -> list[tuple]:

@@ -16,6 +16,8 @@ from factloom.plans.model import View, base_view, fact_problem, relative_problem
 from factloom.plans.query_lang import REACH_DEPTH, parse
 from factloom.scratch import stage
 from factloom.session import table
+from factloom.sources.library import published
+from factloom.sources.store import counters
 from factloom.sources.store import orphan_edges as store_orphans
 
 TERMS = "route priority"
@@ -81,8 +83,13 @@ def _search_sql(terms: str, limit: int) -> str:
 
 
 def _facts(spark: SparkSession, d: str) -> DataFrame:
-    """Facts with their search columns, made once, as a store keeps them."""
-    return stage(base_view(spark, d).facts, "facts")
+    """Facts with their search columns, from the published store."""
+    return published(spark, d).view().facts
+
+
+def _graph(spark: SparkSession, d: str) -> View:
+    """The published store's view: facts, and the relatives with both ends, sorted by either."""
+    return published(spark, d).view()
 
 
 def _shown(top: DataFrame) -> DataFrame:
@@ -134,12 +141,12 @@ def anchor_candidates(spark: SparkSession, d: str) -> DataFrame:
 def _busiest(view: View, kind: str, relation: str, side: str) -> str:
     """The fact of a kind with the most relatives of a kind, the smallest id among equals."""
     ids = view.facts.where(F.col("kind") == kind).select(F.col("object_id").alias(side))
-    rows = view.relatives.where(F.col("relation_kind") == relation).join(ids, side, "left_semi").groupBy(side).count().orderBy(F.desc("count"), side).limit(1).collect()
+    rows = view.edges_at(side).where(F.col("relation_kind") == relation).join(ids, side, "left_semi").groupBy(side).count().orderBy(F.desc("count"), side).limit(1).collect()
     return rows[0][0] if rows else "none"
 
 
 def _busiest_sql(kind: str, relation: str, side: str) -> str:
-    return f"(select {side} from r where relation_kind = '{relation}' and {side} in (select object_id from f where kind = '{kind}') group by 1 order by count(*) desc, 1 limit 1)"
+    return f"(select {side} from r where relation_kind = '{relation}' and {side} in (select object_id from f where kind = '{kind}') and from_fact_id in (select object_id from f) and to_fact_id in (select object_id from f) group by 1 order by count(*) desc, 1 limit 1)"
 
 
 def _one_hop_sql(kinds: str, relation: str) -> str:
@@ -153,7 +160,7 @@ def _rolled(pairs: DataFrame, view: View, spec=None) -> DataFrame:
 
 
 def _field_hop(spark, d, predicate, relation, extra=""):
-    view = base_view(spark, d).staged()
+    view = _graph(spark, d)
     anchor = _busiest(view, "field", relation, "to_fact_id")
     spec = parse(f"{predicate}:{anchor} {extra}")
     return _rolled(graph.weighed(graph.one_hop(view, anchor, spec.kinds, spec.direction)), view, spec)
@@ -183,10 +190,17 @@ ce as (select *, from_fact_id as a, to_fact_id as b from vis where relation_kind
 """
 
 
-@query(f"with {VIEW}, {CALLS} select relation_kind, a as from_id, b as to_id, count(*) as n_edges from ce group by all")
+@query(f"""with {VIEW}, {CALLS}, di as (select to_fact_id as slot, from_fact_id as fact_id, relation_kind, count(*) as n from vis where relation_kind = 'dispatches_via' group by all)
+select slot, 'source' as role, fact_id, relation_kind, n from di union all select slot, 'target', target, 'assigned_to', 1 from asg""")
 def dispatch_targets(spark: SparkSession, d: str) -> DataFrame:
-    """Call edges: direct ones, and dispatches joined with assignments."""
-    return graph.call_edges(graph.call_graph(base_view(spark, d).staged())).groupBy("relation_kind", "from_id", "to_id").agg(F.count(F.lit(1)).alias("n_edges"))
+    """Dispatches joined with assignments, as a class per slot: each source reaches each target."""
+    return graph.call_classes(graph.call_graph(_graph(spark, d)))
+
+
+@query(f"with {VIEW}, {CALLS} select from_fact_id as from_id, to_fact_id as to_id, count(*) as n from vis where relation_kind = 'direct_call' group by all")
+def direct_call_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of caller and callee with the number of their calls."""
+    return graph.direct_pairs(graph.call_graph(_graph(spark, d)))
 
 
 def _closure_sql(near: str, far: str, depth: int, anchor: str) -> str:
@@ -198,7 +212,7 @@ def _closure_sql(near: str, far: str, depth: int, anchor: str) -> str:
 
 
 def _closure(spark, d, direction, depth, side):
-    view = base_view(spark, d).staged()
+    view = _graph(spark, d)
     anchor = _busiest(view, "function", "direct_call", side)
     return _rolled(graph.closure(graph.call_graph(view), anchor, direction, depth), view)
 
@@ -215,7 +229,7 @@ def callers_depth2(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _reach(spark, d, depth: int) -> tuple[bool, int, bool]:
-    view = base_view(spark, d).staged()
+    view = _graph(spark, d)
     a, b = _busiest(view, "function", "direct_call", "from_fact_id"), _busiest(view, "function", "direct_call", "to_fact_id")
     return graph.reach(graph.call_graph(view), a, b, depth)
 
@@ -239,7 +253,7 @@ def reachable_full_depth(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def relation_search_text(spark: SparkSession, d: str) -> DataFrame:
     """The search language end to end: budgeted callers closure."""
-    view = base_view(spark, d).staged()
+    view = _graph(spark, d)
     out = graph.relation_search(view, f"callers:{_busiest(view, 'function', 'direct_call', 'to_fact_id')} depth:1", 20)
     return spark.createDataFrame([(r["object_id"], r["hop"], r["instances"], out.status, out.total) for r in out.rows], "object_id string, hop int, instances bigint, status string, total bigint")
 

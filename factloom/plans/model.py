@@ -79,6 +79,12 @@ class View:
 
     facts: DataFrame
     relatives: DataFrame
+    by_to: DataFrame | None = None  # the relatives once more, sorted by to_fact_id, if a store keeps them
+    whole: bool = False  # whether every relative is known to have both ends
+
+    def edges_at(self, end: str) -> DataFrame:
+        """The copy of the relatives that suits a filter or join on `from_fact_id` or `to_fact_id`."""
+        return self.by_to if end == "to_fact_id" and self.by_to is not None else self.relatives
 
     def staged(self) -> View:
         """The view written to the shared folder, for several queries over it."""
@@ -87,6 +93,8 @@ class View:
 
     def connected(self) -> DataFrame:
         """Relatives with both ends visible."""
+        if self.whole:
+            return self.relatives
         ids = self.facts.select("object_id")
         return self.relatives.join(ids.withColumnRenamed("object_id", "from_fact_id"), "from_fact_id", "left_semi").join(ids.withColumnRenamed("object_id", "to_fact_id"), "to_fact_id", "left_semi").select(*self.relatives.columns)
 

@@ -1,13 +1,17 @@
 """Published snapshots: Parquet tables, a manifest, and a pointer to the current one.
 
 A snapshot's id follows from its content: equal content is published once. Row
-digests are sorted and hashed in two levels, so no full ordered pass over the
-lines is needed; ids are therefore our own. The driver alone moves the pointer.
-Relatives are kept twice, sorted by either end, in place of two indexes.
+digests are hashed as a tree, so no ordered pass over the lines is needed; ids
+are therefore our own. The driver alone moves the pointer, by one rename.
+Relatives are kept twice, sorted by either end, in place of two indexes: reads
+of a fact's edges push its id down to the row groups of the copy for that end.
+Counters by kind, profile and source are a table of the snapshot; the manifest
+holds totals, and counters of the relation kinds, of which there are few.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import posixpath
 import time
@@ -17,12 +21,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions.canonical import canonical_json
+from factloom.functions.digest import tree_digest
 from factloom.functions.paths import source_bucket
 from factloom.operators.ingest import duplicate_ids
 from factloom.plans.model import FACT_COLUMNS, RELATIVE_COLUMNS, View, promote
 
 SCHEMA_VERSION = 1
 KEYS = {"facts": "object_id", "relatives": "relative_id", "source_inventory": "source_id"}
+#: What each copy is sorted by.
+SORTED = {"facts": ["object_id"], "relatives": ["from_fact_id", "relation_kind", "relative_id"], "relatives_by_to": ["to_fact_id", "relation_kind", "relative_id"], "source_inventory": ["source_id"]}
 #: The columns that a table's digest covers, where it has derived ones.
 OWN = {"facts": FACT_COLUMNS}
 
@@ -33,25 +40,25 @@ class StoreError(ValueError):
         self.code = code
 
 
-def table_digest(df: DataFrame, key: str) -> str:
-    """A digest of a table's rows, whatever their order and layout."""
+def table_digest(df: DataFrame) -> str:
+    """A digest of a table's rows, whatever their order and layout; repeated rows count."""
     row = F.sha2(F.to_json(F.struct(*sorted(df.columns))), 256)
-    part = df.select(F.substring(row, 1, 3).alias("p"), row.alias("d")).groupBy("p").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ""), 256).alias("d"))
-    rows = sorted((r["p"], r["d"]) for r in part.collect())  # at most 4,096
-    import hashlib
+    return tree_digest(df.select(row.alias("line")), []).first()["digest"]
 
-    return hashlib.sha256("\n".join(d for _, d in rows).encode()).hexdigest()
 
-
-def stats_of(facts: DataFrame, relatives: DataFrame) -> dict:
-    """Counters of a snapshot: facts by kind, profile and source, relatives by kind, conditional ones."""
+def counters(facts: DataFrame, relatives: DataFrame) -> DataFrame:
+    """(what, value, n, n_conditional): facts by kind, profile and source, relatives by kind."""
     kind = F.coalesce(F.nullif(F.get_json_object("payload", "$.fact_kind"), F.lit("")), F.lit("fact"))
-    marks = F.array(*(F.struct(F.lit(n).alias("what"), c.alias("value")) for n, c in (("fact_kinds", kind), ("profiles", F.col("object_profile")), ("sources", source_bucket(F.col("object_source"))))))
-    out: dict = {"fact_kinds": {}, "profiles": {}, "sources": {}, "relation_kinds": {}}
-    for r in facts.select(F.explode(marks).alias("x")).groupBy("x.what", "x.value").count().collect():
-        out[r["what"]][r["value"]] = r["count"]
-    out |= facts.agg(F.count(F.lit(1)).alias("fact_count"), F.count("object_caller").alias("with_caller"), F.count("object_callee").alias("with_callee")).first().asDict()
+    marks = F.array(*(F.struct(F.lit(n).alias("what"), c.alias("value")) for n, c in (("fact_kind", kind), ("profile", F.col("object_profile")), ("source", source_bucket(F.col("object_source"))))))
+    of_facts = facts.select(F.explode(marks).alias("x")).groupBy("x.what", "x.value").agg(F.count(F.lit(1)).alias("n"), F.lit(None).cast("bigint").alias("n_conditional"))
+    of_relatives = relatives.groupBy(F.lit("relation_kind").alias("what"), F.col("relation_kind").alias("value")).agg(F.count(F.lit(1)).alias("n"), F.count("condition").alias("n_conditional"))
+    return of_facts.unionByName(of_relatives)
+
+
+def totals_of(facts: DataFrame, relatives: DataFrame) -> dict:
+    """What a manifest holds of `counters`: totals, and relatives by kind (of a closed set)."""
     rows = relatives.groupBy("relation_kind").agg(F.count(F.lit(1)).alias("n"), F.count("condition").alias("c")).collect()
+    out = facts.agg(F.count(F.lit(1)).alias("fact_count"), F.count("object_caller").alias("with_caller"), F.count("object_callee").alias("with_callee")).first().asDict()
     return out | {"relation_kinds": {r["relation_kind"]: r["n"] for r in rows}, "relative_count": sum(r["n"] for r in rows), "conditional_relative_count": sum(r["c"] for r in rows)}
 
 
@@ -82,21 +89,32 @@ class Store:
         return self._fs.exists(self._path(*parts))
 
     def _write(self, text: str, *parts: str) -> None:
-        """Written beside, then renamed: readers see the old or the new file."""
+        """Written beside, then renamed over the old file in one step: readers see the old or the new one, after a crash too."""
+        jvm = self.spark._jvm
         tmp = self._path(*parts[:-1], f".{parts[-1]}-{uuid.uuid4().hex}")
         out = self._fs.create(tmp, True)
         out.write(bytearray(text.encode()))
         out.close()
-        if self._exists(*parts):
-            self._fs.delete(self._path(*parts), False)
-        if not self._fs.rename(tmp, self._path(*parts)):
-            raise StoreError("publish_failed", parts[-1])
+        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        try:
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration()).rename(self._fs.makeQualified(tmp), self._fs.makeQualified(self._path(*parts)), options)
+        except Exception as e:
+            self._fs.delete(tmp, False)
+            raise StoreError("publish_failed", parts[-1]) from e
 
     def _read(self, *parts: str) -> str | None:
         if not self._exists(*parts):
             return None
-        rows = self.spark.read.text(posixpath.join(self.root, *parts), wholetext=True).collect()
-        return rows[0][0] if rows else ""
+        source = self._fs.open(self._path(*parts))  # a few bytes, read by the driver itself
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")
+        finally:
+            source.close()
+
+    def exists(self) -> bool:
+        """Whether a snapshot has been published here."""
+        return self._exists("snapshots", "current")
 
     # publishing
 
@@ -109,23 +127,21 @@ class Store:
         staging = f"staging-{uuid.uuid4().hex}"
         began = time.time()
         try:
+            at = lambda name: posixpath.join(self.root, staging, name)
             stored = {}
             for name, df in tables.items():
-                at = posixpath.join(self.root, staging, name)
-                df.repartitionByRange(F.col(KEYS[name])).sortWithinPartitions(KEYS[name]).write.parquet(at)
-                stored[name] = self.spark.read.schema(df.schema).parquet(at)
+                df.repartitionByRange(*(F.col(c) for c in SORTED[name])).sortWithinPartitions(*SORTED[name]).write.parquet(at(name))
+                stored[name] = self.spark.read.schema(df.schema).parquet(at(name))
             if check:
                 self._check(stored)
-            by_to = stored["relatives"].repartitionByRange("to_fact_id", "relative_id").sortWithinPartitions("to_fact_id", "relation_kind")
-            by_to.write.parquet(posixpath.join(self.root, staging, "relatives_by_to"))
-            digests = {f"{n}_sha256": table_digest(df.select(*OWN.get(n, df.columns)), KEYS[n]) for n, df in stored.items()}
-            import hashlib
-
+            stored["relatives"].repartitionByRange(*SORTED["relatives_by_to"]).sortWithinPartitions(*SORTED["relatives_by_to"]).write.parquet(at("relatives_by_to"))
+            digests = {f"{n}_sha256": table_digest(df.select(*OWN.get(n, df.columns))) for n, df in stored.items()}
             sid = "sha256-" + hashlib.sha256("\n".join(digests.values()).encode()).hexdigest()[:16]
-            manifest = {"schema_version": SCHEMA_VERSION, "snapshot_id": sid, **digests, "source_count": stored["source_inventory"].count(), "created_at": began} | stats_of(stored["facts"], stored["relatives"])
             if self._exists("snapshots", sid, "manifest.json"):
                 manifest = json.loads(self._read("snapshots", sid, "manifest.json")) | {"reused": True}
             else:
+                counters(stored["facts"], stored["relatives"]).write.parquet(at("counters"))
+                manifest = {"schema_version": SCHEMA_VERSION, "snapshot_id": sid, **digests, "checked": check, "source_count": stored["source_inventory"].count(), "created_at": began} | totals_of(stored["facts"], stored["relatives"])
                 manifest["bytes_on_disk"] = self._fs.getContentSummary(self._path(staging)).getLength()
                 self._write(json.dumps(manifest, sort_keys=True), staging, "manifest.json")
                 self._fs.mkdirs(self._path("snapshots"))
@@ -167,15 +183,17 @@ class Store:
         return self.spark.read.parquet(posixpath.join(self.root, "snapshots", sid or self.current(), name))
 
     def view(self, sid: str | None = None) -> View:
-        relatives = self.table("relatives", sid).withColumn("source_id", F.nullif(F.get_json_object("payload", "$.source_id"), F.lit("")))
-        return View(self.table("facts", sid), relatives)
+        m = self.manifest(sid)
+        sid = m["snapshot_id"]
+        with_source = lambda df: df.withColumn("source_id", F.nullif(F.get_json_object("payload", "$.source_id"), F.lit("")))
+        return View(self.table("facts", sid), with_source(self.table("relatives", sid)), with_source(self.table("relatives_by_to", sid)), m["checked"])
 
     def verify(self, sid: str | None = None) -> None:
         """Raises if the tables don't fit the digests of the manifest."""
         m = self.manifest(sid)
-        for name, key in KEYS.items():
+        for name in KEYS:
             df = self.table(name, m["snapshot_id"])
-            if table_digest(df.select(*OWN.get(name, df.columns)), key) != m[f"{name}_sha256"]:
+            if table_digest(df.select(*OWN.get(name, df.columns))) != m[f"{name}_sha256"]:
                 raise StoreError("snapshot_corrupt", name)
 
     def snapshots(self) -> list[dict]:
@@ -189,13 +207,11 @@ class Store:
 
     def publish_overlay(self, patches: dict[str, DataFrame], dirty: int = 0) -> dict:
         """Publishes fact_upserts, relative_upserts, fact_tombstones and relative_tombstones (and source_tombstones) over the current snapshot."""
-        import hashlib
-
         sid = self.current()
         names = ["fact_upserts", "fact_tombstones", "relative_upserts", "relative_tombstones", "source_tombstones"]
         digest = hashlib.sha256((sid or "").encode())
         for n in names:
-            digest.update(b"\0" + table_digest(patches[n], patches[n].columns[0]).encode())
+            digest.update(b"\0" + table_digest(patches[n]).encode())
         oid = "overlay-" + digest.hexdigest()[:16]
         for n in names:
             patches[n].write.mode("overwrite").parquet(posixpath.join(self.root, "overlays", oid, n))

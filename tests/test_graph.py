@@ -1,6 +1,7 @@
 """Search, relation queries, detail and overlays on small golden graphs."""
 
 import json
+import random
 
 import pytest
 from conftest import rows
@@ -74,7 +75,7 @@ def test_reach_has_no_budget(spark, monkeypatch):
 
     from factloom.plans import catalog
 
-    monkeypatch.setattr(catalog, "base_view", lambda *_: view(spark, facts + [fact("hub")], [edge("root", f"{i}") for i in ("a", "b", "c", "z")] + [edge("b", "z")]))
+    monkeypatch.setattr(catalog, "_graph", lambda *_: view(spark, facts + [fact("hub")], [edge("root", f"{i}") for i in ("a", "b", "c", "z")] + [edge("b", "z")]))
     monkeypatch.setattr(graph.relation_search, "__defaults__", (20, None, 3, 10_000))
     assert catalog.reachable_path(spark, "").collect()[0][:] == (True, 1)
     assert catalog.reachable_full_depth(spark, "").collect()[0][:] == (True, 1, True)
@@ -89,11 +90,35 @@ def test_dispatch(spark):
     calls = graph.call_graph(view(spark, facts + [fact("t2"), fact("r2")], [edge(a, "slot", "dispatches_via", rid=f"{a}{k}") for a in ("root", "r2") for k in range(3)] + [edge("slot", t, "assigned_to") for t in ("target", "t2")]))
     assert rows(graph.rollup(graph.closure(calls, "root", "outgoing", 1)), "endpoint_id", "instances", "representative") == [("t2", 3, "root0"), ("target", 3, "root0")]
     assert rows(graph.rollup(graph.closure(calls, "t2", "incoming", 1)), "endpoint_id", "instances", "representative") == [("r2", 3, "r20"), ("root", 3, "root0")]
-    assert graph.call_edges(calls).count() == 12
+    assert rows(graph.call_classes(calls), "slot", "role", "fact_id", "n") == [("slot", "source", "r2", 3), ("slot", "source", "root", 3), ("slot", "target", "t2", 1), ("slot", "target", "target", 1)]
     hop = graph.relation_search(v, "dispatches_via:ExecProcNode")
     assert [(r["object_id"], r["matched"][0]["kind"]) for r in hop.rows] == [("target", "assigned_to")]
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_frontier_edges_are_the_first_in_order(spark, seed):
+    """Whatever the budget, the edges are the head of the whole list, which is built here by brute force."""
+    rng = random.Random(seed)
+    funcs = [fact(f"f{k}", f"n{rng.randrange(3)}", source=f"src/{rng.choice('ab')}.c:1") for k in range(8)]
+    slots = [fact(s, kind="function_pointer_slot") for s in ("s1", "s2")]
+    edges = [edge(f"f{rng.randrange(8)}", f"f{rng.randrange(8)}", rid=f"d{k:02}") for k in range(12)]
+    edges += [edge(f"f{rng.randrange(8)}", rng.choice(["s1", "s2"]), "dispatches_via", rid=f"v{k:02}") for k in range(14)]
+    edges += [edge(rng.choice(["s1", "s2"]), f"f{rng.randrange(8)}", "assigned_to", rid=f"a{k:02}") for k in range(9)]
+    v = view(spark, funcs + slots, edges)
+    calls = graph.call_graph(v)
+    known = {r["object_id"]: (r["object_name"], r["object_source"]) for r in v.facts.collect()}
+    raw = [(r["from_fact_id"], r["to_fact_id"], r["relation_kind"], r["relative_id"]) for r in v.relatives.collect()]
+    assigned = {(a, b) for a, b, k, _ in raw if k == "assigned_to"}
+    every = [(a, b, i) for a, b, k, i in raw if k == "direct_call"] + [(a, t, i) for a, s, k, i in raw if k == "dispatches_via" for s2, t in assigned if s == s2]
+    frontier = ["f0", "f1", "f2", "f5"]
+    for direction in ("outgoing", "incoming"):
+        mine = [(a, b, i) if direction == "outgoing" else (b, a, i) for a, b, i in every]
+        want = sorted((n, known[f], i, f) for n, f, i in mine if n in frontier)
+        for most in (1, 4, 9, 500):
+            got = [(e["source"], (e["object_name"], e["object_source"]), e["relative_id"], e["object_id"]) for e in graph._frontier_edges(v, calls, frontier, direction, most)]
+            assert got == want[:most]
+
+
 def test_readers_and_anchors(spark):
     facts = [fact("f", "width", "field", owner_name="Window", type="int"), fact("g", "width", "field", owner_name="Page"), fact("a", source="src/a.c:3"), fact("b", source="lib/b.c:4")]
     v = view(spark, facts, [edge("a", "f", "field_read"), edge("b", "f", "field_read"), edge("b", "f", "field_read", rid="rel:2"), edge("gone", "f", "field_read")])

@@ -260,8 +260,11 @@ def test_store(spark, tmp_path):
     first = store.publish(facts, edges)
     again = store.publish(facts.orderBy(F.desc("object_id")), edges)
     assert first["snapshot_id"] == again["snapshot_id"] and again["reused"] and not first["reused"]
-    assert store.manifest()["fact_kinds"] == {"function": 1, "type": 1} and store.manifest()["relation_kinds"] == {"direct_call": 1}
+    assert store.manifest()["relation_kinds"] == {"direct_call": 1} and not [f for f in (tmp_path / "store" / "snapshots").iterdir() if f.name.startswith(".current-")]
+    assert rows(store.table("counters").where("what = 'fact_kind'"), "value", "n") == [("function", 1), ("type", 1)]
     store.verify()
+    near = store.view().edges_at("to_fact_id").where("to_fact_id = 'b'")
+    assert near.count() == 1 and "EqualTo(to_fact_id,b)" in near._jdf.queryExecution().toString() and "relatives_by_to" in near.inputFiles()[0]
     assert rows(store.view().facts, "object_id") == [("a",), ("b",)] and store.view().facts.where("name_cf = 'a'").count() == 1
     with pytest.raises(StoreError, match="duplicate_object_id"):
         store.publish(facts.union(facts), edges)
@@ -283,6 +286,37 @@ def test_store(spark, tmp_path):
         scans.require_sound(scans.stored_lines(spark, str(tmp_path / "bad.jsonl")))
 
 
+def test_tree_digest(spark):
+    import hashlib
+
+    from factloom.functions.digest import tree_digest
+
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+
+    def brute(lines, fan):
+        level = sorted(sha(f"{sha(x)}:{lines.count(x)}") for x in set(lines))
+        digits = 0
+        while len(level) > fan * 16**digits and digits < 9:
+            digits += 1
+        if len(set(lines)) <= fan:
+            digits = 0
+        while digits > 0:
+            parts = {}
+            for d in level:
+                parts.setdefault(d[:digits], []).append(d)
+            level = sorted(p + sha("".join(sorted(ds))) for p, ds in parts.items())
+            digits -= 3
+        return sha("".join(level))
+
+    many = [(g, f"line {k % 700}") for g, n in (("a", 900), ("b", 3), (None, 40)) for k in range(n)]
+    df = spark.createDataFrame([*many, ("c", None)], "g string, line string")
+    for fan in (4, 4096):
+        got = {r["g"]: (r["digest"], r["n"]) for r in tree_digest(df.repartition(5), ["g"], fan).collect()}
+        assert got == {g: (brute([x for k, x in many if k == g], fan), n) for g, n in (("a", 900), ("b", 3), (None, 40))}
+    assert tree_digest(df.where("false"), []).first()["digest"] == sha("")
+    assert tree_digest(df, []).first()["digest"] == tree_digest(df.orderBy("line"), []).first()["digest"]
+
+
 def test_file_scans(spark, tmp_path):
     (tmp_path / "src").mkdir()
     (tmp_path / "src/a.c").write_text("int a;")
