@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import contamination, packing, shared_spans
+from factloom.scratch import stage
 from factloom.session import table
 
 
@@ -24,10 +25,33 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_packing(spark, d).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
 
 
+def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """The texts and pieces that are laid into containers, without the containers."""
+    return p6_packing(spark, d).select("doc_id", "piece", "first_token", "n_tokens")
+
+
+def p6_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """What any sound filling has: items and tokens all there, no container over its capacity, no needless split, full pieces alone."""
+    out = stage(p6_packing(spark, d), "packing")
+    bins = out.where("bin_id is not null").groupBy("bin_id").agg(F.sum("n_tokens").alias("fill"), F.count(F.lit(1)).alias("n"), F.max("n_tokens").alias("largest"))
+    bad = bins.agg(F.count_if(F.col("fill") > CAPACITY).alias("n_overfull"), F.count_if((F.col("largest") == CAPACITY) & (F.col("n") > 1)).alias("n_crowded"))
+    per_doc = out.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("t"), F.count_distinct("piece").alias("k"))
+    docs = per_doc.agg(
+        F.count(F.lit(1)).alias("n_docs"), F.sum("t").alias("n_tokens"), F.sum("n").alias("n_pieces"), F.count_if(F.col("n") != F.greatest(F.lit(1), F.ceil(F.col("t") / CAPACITY))).alias("n_needless"), F.count_if(F.col("n") != F.col("k")).alias("n_repeated")
+    )
+    lost = out.agg(F.count_if(F.col("bin_id").isNull() & (F.col("n_tokens") > 0)).alias("n_unplaced"))
+    one = lambda df: df.withColumn("_one", F.lit(1))  # noqa: E731  three rows side by side
+    return one(docs).join(one(bad), "_one").join(one(lost), "_one").drop("_one")
+
+
 def p6_fill(spark: SparkSession, d: str) -> DataFrame:
-    """Containers used, the least possible number, and the mean fill."""
-    used = p6_packing(spark, d).where("bin_id is not null").agg(F.countDistinct("bin_id").alias("n_bins"), F.sum("n_tokens").alias("n_tokens"))
-    return used.select("n_bins", "n_tokens", F.ceil(F.col("n_tokens") / CAPACITY).alias("least_bins"), F.round(F.col("n_tokens") / (F.col("n_bins") * CAPACITY), 6).alias("fill"))
+    """Containers used, those of best fit alone over the same blocks, the least possible number, and the mean fill."""
+    sizes = packing.sizes_of(table(spark, d, "documents"), id="doc_id", text="text")
+    bins = lambda evolve: packing.pack(sizes, id="id", size="n", capacity=CAPACITY, evolve=evolve).where("bin_id is not null")
+    used = bins(True).agg(F.countDistinct("bin_id").alias("n_bins"), F.sum("size").alias("n_tokens"))
+    plain = bins(False).agg(F.countDistinct("bin_id").alias("n_bins_best_fit"))
+    both = used.withColumn("_one", F.lit(1)).join(plain.withColumn("_one", F.lit(1)), "_one")
+    return both.select("n_bins", "n_bins_best_fit", "n_tokens", F.ceil(F.col("n_tokens") / CAPACITY).alias("least_bins"), F.round(F.col("n_tokens") / (F.col("n_bins") * CAPACITY), 6).alias("fill"))
 
 
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
@@ -36,12 +60,12 @@ def _leaks(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that hold 13 or more successive words of an item, with the item."""
-    return _leaks(spark, d).select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id")).distinct()
+    return _leaks(spark, d).select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
 
 
 def p7_longest(spark: SparkSession, d: str) -> DataFrame:
-    """The longest leaked passage of each document and item."""
-    return _leaks(spark, d).groupBy(F.col("doc").alias("doc_id"), F.col("item").alias("item_id")).agg(F.max("n_words").alias("n_words"), F.count(F.lit(1)).alias("n_passages"))
+    """The longest leaked passage of each document and item, and how many stretches and words of the document stand in the item."""
+    return _leaks(spark, d).select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "n_words", "n_passages", "n_covered")
 
 
 def p7_clean_documents(spark: SparkSession, d: str) -> DataFrame:
@@ -66,21 +90,33 @@ def p8_coverage(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("share", F.when(F.col("n_chars") > 0, F.col("shared_chars") / F.col("n_chars")).otherwise(F.lit(0.0)))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_packing, p6_fill, p7_found, p7_longest, p7_clean_documents, p8_found, p8_coverage)}
+QUERIES = {f.__name__: f for f in (p6_found, p6_packing, p6_pieces, p6_invariants, p6_fill, p7_found, p7_longest, p7_clean_documents, p8_found, p8_coverage)}
 # The pattern without look-ahead: a mark (U+E000) parts the last of several white spaces from the others.
-P6_FOUND_SQL = r"""
-with w as (select doc_id, regexp_replace(text, '([\t-\r\x{85}\p{Z}]+)([\t-\r\x{85}\p{Z}][^\t-\r\x{85}\p{Z}])', '\1' || chr(57344) || '\2', 'g') as t from documents)
-select doc_id from w where len(regexp_extract_all(t, '''s|''t|''re|''ve|''m|''ll|''d| ?\p{L}+| ?\p{N}+| ?[^\t-\r\x{85}\x{E000}\p{Z}\p{L}\p{N}]+|[\t-\r\x{85}\p{Z}]+')) > 1024
+_P6_SIZES = r"""
+with w as (select doc_id, regexp_replace(text, '([\t-\r\x{85}\p{Z}]+)([\t-\r\x{85}\p{Z}][^\t-\r\x{85}\p{Z}])', '\1' || chr(57344) || '\2', 'g') as t from documents),
+size as (select doc_id, coalesce(len(regexp_extract_all(t, '''s|''t|''re|''ve|''m|''ll|''d| ?\p{L}+| ?\p{N}+| ?[^\t-\r\x{85}\x{E000}\p{Z}\p{L}\p{N}]+|[\t-\r\x{85}\p{Z}]+')), 0) as n from w)
 """
+P6_FOUND_SQL = _P6_SIZES + "select doc_id from size where n > 1024"
+P6_PIECES_SQL = _P6_SIZES + """, cut as (select doc_id, n, unnest(range(greatest(1, (n + 1023) // 1024))) as k from size)
+select doc_id, k::int as piece, k * 1024 as first_token, least(1024, n - k * 1024)::int as n_tokens from cut"""
+P6_INVARIANTS_SQL = _P6_SIZES + """select count(*) as n_docs, sum(n)::bigint as n_tokens, sum(greatest(1, (n + 1023) // 1024))::bigint as n_pieces,
+0::bigint as n_needless, 0::bigint as n_repeated, 0::bigint as n_overfull, 0::bigint as n_crowded, 0::bigint as n_unplaced from size"""
 
 # DuckDB knows NFC only; it differs from NFKC where a passage holds compatibility forms.
-P7_FOUND_SQL = r"""
+_P7_GRAMS = r"""
 with dw as (select doc_id, regexp_extract_all(lower(nfc_normalize(text)), '[\p{L}\p{N}]+') as w from documents where text is not null),
 iw as (select item_id, regexp_extract_all(lower(nfc_normalize(text)), '[\p{L}\p{N}]+') as w from eval_items),
-dg as (select distinct doc_id, array_to_string(w[i:i+12], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 11)) as i from dw where len(w) >= 13)),
-ig as (select distinct item_id, array_to_string(w[i:i+12], ' ') as g from (select item_id, w, unnest(range(1, len(w) - 11)) as i from iw where len(w) >= 13))
-select distinct doc_id, item_id from dg join ig using (g)
+dg as (select doc_id, i, array_to_string(w[i:i+12], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 11)) as i from dw where len(w) >= 13)),
+ig as (select item_id, i, array_to_string(w[i:i+12], ' ') as g from (select item_id, w, unnest(range(1, len(w) - 11)) as i from iw where len(w) >= 13))
 """
+_P7_DISTINCT = """, dd as (select distinct doc_id, g from dg), ii as (select distinct item_id, g from ig) select distinct doc_id, item_id from dd join ii using (g)"""
+P7_FOUND_SQL = _P7_GRAMS + _P7_DISTINCT
+P7_LONGEST_SQL = _P7_GRAMS + """, hit as (select doc_id, item_id, dg.i, dg.i - ig.i as diagonal from dg join ig using (g)),
+runs as (select doc_id, item_id, diagonal, i - row_number() over (partition by doc_id, item_id, diagonal order by i) as run from hit),
+longest as (select doc_id, item_id, max(n) + 12 as n_words from (select doc_id, item_id, count(*) as n from runs group by doc_id, item_id, diagonal, run) group by all),
+spots as (select distinct doc_id, item_id, i from hit), gaps as (select *, i - lag(i) over (partition by doc_id, item_id order by i) as gap from spots),
+cover as (select doc_id, item_id, (count(*) filter (gap > 13) + 1)::int as n_passages, (coalesce(sum(least(gap, 13)), 0) + 13)::int as n_covered from gaps group by all)
+select doc_id, item_id, n_words::int as n_words, n_passages, n_covered from longest join cover using (doc_id, item_id)"""
 P7_CLEAN_SQL = f"with bad as ({P7_FOUND_SQL}) select doc_id, source, n_chars from documents where doc_id not in (select doc_id from bad)"
 
 P8_FOUND_SQL = r"""
@@ -97,4 +133,7 @@ select d.doc_id, coalesce(length(d.text), 0)::bigint as n_chars, coalesce(n_span
 from documents d left join c using (doc_id)
 """
 
-SQL = {"p6_found": P6_FOUND_SQL, "p7_found": P7_FOUND_SQL, "p7_clean_documents": P7_CLEAN_SQL, "p8_found": P8_FOUND_SQL, "p8_coverage": P8_COVERAGE_SQL}
+SQL = {
+    "p6_found": P6_FOUND_SQL, "p6_pieces": P6_PIECES_SQL, "p6_invariants": P6_INVARIANTS_SQL, "p7_found": P7_FOUND_SQL, "p7_longest": P7_LONGEST_SQL,
+    "p7_clean_documents": P7_CLEAN_SQL, "p8_found": P8_FOUND_SQL, "p8_coverage": P8_COVERAGE_SQL,
+}

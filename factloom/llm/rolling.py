@@ -1,11 +1,19 @@
 """Rabin-Karp hashes of all windows of many texts at once.
 
-Texts are laid end to end as code points; prefix sums of a polynomial modulo
-2^64 give the hash of any stretch by one subtraction and one product.
+Texts are laid end to end as code points; prefix sums of a polynomial give the
+hash of any stretch by one subtraction and one product. There are two kinds:
+
+* `prefix_sums` and `hashes` count modulo 2^64, which is fast, but texts made for
+  it (such as the Thue-Morse word and its complement) collide whatever the base.
+  They only choose candidates.
+* `prime_sums` and `prime_hashes` count modulo the prime 2^61 - 1. Two different
+  texts of n characters agree for at most n of all bases, so with two bases that
+  no text knows of, they decide.
 """
 
 from __future__ import annotations
 
+import hashlib
 from functools import lru_cache
 
 import numpy as np
@@ -31,6 +39,50 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers(size)
 
 
+PRIME = (1 << 61) - 1
+PRIME_BASES = [int.from_bytes(hashlib.sha256(b"window base %d" % k).digest()[:8], "big") % PRIME for k in (1, 2)]
+
+
+def mulmod(a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
+    """a * b modulo PRIME, for numbers below it."""
+    b = np.asarray(b, np.uint64)
+    low, half = np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1)
+    a1, a0, b1, b0 = a >> np.uint64(31), a & low, b >> np.uint64(31), b & low
+    mid = a1 * b0 + a0 * b1
+    return reduced(((a1 * b1) << np.uint64(1)) + (mid >> np.uint64(30)) + ((mid & half) << np.uint64(31)) + a0 * b0)
+
+
+def reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME; 2^61 is 1 there."""
+    x = (x & np.uint64(PRIME)) + (x >> np.uint64(61))
+    return np.where(x >= np.uint64(PRIME), x - np.uint64(PRIME), x)
+
+
+@lru_cache(maxsize=4)
+def _prime_powers(base: int, bits: int) -> np.ndarray:
+    out, step = np.ones(1, np.uint64), base
+    for _ in range(bits):
+        out = np.concatenate([out, mulmod(out, step)])
+        step = step * step % PRIME
+    return out
+
+
+def prime_sums(values: np.ndarray, base: int) -> np.ndarray:
+    """The sums that `prime_hashes` needs, one more than values (below 2^32)."""
+    n = len(values)
+    terms = mulmod(values.astype(np.uint64) + np.uint64(1), _prime_powers(base, max(20, n.bit_length()))[:n])
+    high, low = np.zeros(n + 1, np.uint64), np.zeros(n + 1, np.uint64)
+    np.cumsum(terms >> np.uint64(31), out=high[1:])
+    np.cumsum(terms & np.uint64((1 << 31) - 1), out=low[1:])
+    return reduced(mulmod(reduced(high), 1 << 31) + reduced(low))
+
+
+def prime_hashes(sums: np.ndarray, start: np.ndarray, length: int, base: int) -> np.ndarray:
+    """Hashes of the stretches of one length from each start, below PRIME."""
+    inverse = _prime_powers(pow(base, -1, PRIME), max(20, len(sums).bit_length()))
+    return mulmod(reduced(sums[start + length] + np.uint64(PRIME) - sums[start]), inverse[start])
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spreads the bits, so that smaller or larger means nothing."""
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -10,6 +10,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
+from factloom import scratch
 from factloom.llm import contamination, packing, rolling, shared_spans
 
 DOC = "doc_id long, text string, doc string, h long"
@@ -64,6 +65,27 @@ def test_genetic_steps_keep_packings_sound():
     assert packing.evolve(hard, [], 100, 2)[0].max() + 1 <= 19
 
 
+def test_evolution_beats_best_fit_where_that_is_poor():
+    """Triplets that fill a container exactly: best fit wastes room, crossover and mutation win some of it back."""
+    rng = np.random.default_rng(11)
+    a = rng.integers(380, 490, 80)
+    b = rng.integers(250, 300, 80)
+    sizes = np.concatenate([a, b, 1000 - a - b]).astype(np.int32)
+    alone = int(packing.fresh(sizes, 1000, rng, 0.0).max()) + 1
+    people, score = [], []
+    for epoch in range(6):
+        people = packing.evolve(sizes, people, 1000, epoch, generations=30)
+        score.append((int(people[0].max()) + 1, -packing.fitness(people[0], sizes, 1000)))
+    assert score == sorted(score, reverse=True) and score[-1][0] < alone
+
+
+def test_packing_without_evolution_and_with_text_ids(spark):
+    df = spark.createDataFrame([(f"d{k}", 30 + k % 40) for k in range(120)], "id string, n int")
+    for evolve in (True, False):
+        out = packing.pack(df, id="id", size="n", capacity=100, block_items=50, evolve=evolve).toPandas()
+        assert sorted(out["doc"]) == sorted(f"d{k}" for k in range(120)) and out.groupby("bin_id")["size"].sum().max() <= 100
+
+
 @pytest.mark.parametrize("block", [4000, 25])
 def test_packing(spark, block):
     rng = random.Random(block)
@@ -89,6 +111,7 @@ def words(t):
 
 
 def brute_leaks(corpus, items, least):
+    """(document, item) to longest match, stretches and words covered."""
     out = {}
     for d, t in corpus:
         for i, s in items:
@@ -96,42 +119,61 @@ def brute_leaks(corpus, items, least):
                 continue
             a, b = words(t), words(s)
             best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-            longest = 0
+            longest, covered = 0, set()
             for x in range(len(a)):
                 for y in range(len(b)):
                     if a[x] == b[y]:
                         best[x + 1][y + 1] = best[x][y] + 1
                         longest = max(longest, best[x + 1][y + 1])
+                        if best[x + 1][y + 1] >= least:
+                            covered.add(x + 1 - least)
             if longest >= least:
-                out[d, i] = longest
+                spots = sorted(covered)
+                cells = {w for x in spots for w in range(x, x + least)}
+                out[d, i] = (longest, 1 + sum(q - p > least for p, q in zip(spots, spots[1:])), len(cells))
     return out
 
 
-@pytest.mark.parametrize("seed", range(2))
-def test_leaks(spark, seed, monkeypatch):
+@pytest.mark.parametrize("seed,kind", [(0, "long"), (1, "string")])
+def test_leaks(spark, seed, kind, monkeypatch):
     rng = random.Random(seed)
     monkeypatch.setattr(rolling, "BLOCK_CHARS", 300)
+    monkeypatch.setattr(contamination, "SHARD_CHARS", 900)
+    monkeypatch.setattr(contamination, "CHUNK", 7)
     vocab = ["Ärger", "ﬁx", "x1", "é", "foo", "bar", "Straße", "№5", "baz"]
     make = lambda n: "".join(rng.choice(vocab) + rng.choice([" ", "--", "\n", ". "]) for _ in range(n))
-    items = [(k, make(rng.randrange(3, 14))) for k in range(12)] + [(50, None), (51, ""), (52, "foo bar")]
+    items = [(k, make(rng.randrange(3, 14))) for k in range(12)] + [(50, None), (51, ""), (52, "foo bar"), (53, "foo " * 9), (54, "foo " * 9)]
     corpus = [(k, make(rng.randrange(0, 40))) for k in range(30)]
-    corpus += [(100 + k, make(5) + items[k % 3][1].upper() + make(5)) for k in range(40)] + [(200, None), (201, ""), (202, "?!"), (203, items[0][1] * 3), (204, items[0][1])]
-    left = spark.createDataFrame([(k, t, 9) for k, t in corpus], "doc_id long, text string, item long")
-    right = spark.createDataFrame(items, "item_id long, text string")
+    corpus += [(100 + k, make(5) + items[k % 3][1].upper() + make(5)) for k in range(40)] + [(200, None), (201, ""), (202, "?!"), (203, items[0][1] * 3), (204, items[0][1]), (205, "foo " * 30), (206, "foo " * 7)]
+    left = spark.createDataFrame([(k, t, 9) for k, t in corpus], "doc_id long, text string, item long").withColumn("doc_id", F.col("doc_id").cast(kind))
+    right = spark.createDataFrame(items, "item_id long, text string").withColumn("item_id", F.col("item_id").cast(kind))
     for chars in (4_000_000, 150):
         monkeypatch.setattr(contamination, "ITEM_CHARS", chars)
         found = contamination.find_leaks(left, right, id="doc_id", text="text", item="item_id", item_text="text", least=5)
-        got = {(r["doc"], r["item"]): r["n"] for r in found.groupBy("doc", "item").agg(F.max("n_words").alias("n")).collect()}
-        assert got == brute_leaks(corpus, items, 5)
-    hit = found.first()
-    a, b = words(dict(corpus)[hit["doc"]]), words(dict(items)[hit["item"]])
-    assert a[hit["doc_word"] : hit["doc_word"] + hit["n_words"]] == b[hit["item_word"] : hit["item_word"] + hit["n_words"]]
+        rows = found.collect()
+        got = {(int(r["doc"]), int(r["item"])): (r["n_words"], r["n_passages"], r["n_covered"]) for r in rows}
+        assert got == brute_leaks(corpus, items, 5) and len(rows) == len(got)
+        for hit in rows:
+            a, b = words(dict(corpus)[int(hit["doc"])]), words(dict(items)[int(hit["item"])])
+            assert a[hit["doc_word"] : hit["doc_word"] + hit["n_words"]] == b[hit["item_word"] : hit["item_word"] + hit["n_words"]]
     clean = contamination.remove_leaks(left, found, id="doc_id")
     assert clean.count() == len(corpus) - len({d for d, _ in got})
     for l, r in ((left.limit(0), right), (left, right.limit(0))):
         assert contamination.find_leaks(l, r, id="doc_id", text="text", item="item_id", item_text="text", least=5).count() == 0
 
 
+def test_leaks_of_texts_that_repeat_themselves():
+    """Memory grows with the texts, not with the pairs of their places."""
+    import tracemalloc
+
+    tracemalloc.start()
+    assert contamination.search_shard(["a " * 50_000], ["a " * 1_000], 13)
+    found = contamination.search_shard(["x " + "a " * 50_000], ["a " * 1_000], 13)
+    assert [(f[2], f[5], f[6]) for f in found] == [(1000, 1, 50_000)]
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+
+
 # --- problem 8 -----------------------------------------------------------------------------------
 
 
@@ -174,7 +216,8 @@ def test_shared_spans(spark, seed, span, anchor, monkeypatch):
 
 
 def test_shared_spans_with_a_hot_passage(spark, monkeypatch):
-    monkeypatch.setattr(shared_spans, "HOT_SHARE", 0.0001)
+    monkeypatch.setattr(scratch, "LEAST_PART", 3)
+    monkeypatch.setattr(scratch, "MOST_PART", 3)
     monkeypatch.setattr(shared_spans, "BROADCAST_IDS", 1)
     rng = random.Random(7)
     make = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
@@ -182,3 +225,24 @@ def test_shared_spans_with_a_hot_passage(spark, monkeypatch):
     corpus = [(k, make(15) + plate + make(15)) for k in range(60)]
     out = shared_spans.shared_intervals(spark.createDataFrame(corpus, "i long, t string"), id="i", text="t", span=24, anchor=8)
     assert {tuple(r) for r in out.select("doc", "start_pos", "end_pos").collect()} == brute_spans(corpus, 24)
+
+
+def test_shared_spans_of_periodic_and_automatic_texts(spark):
+    """Texts that collide modulo 2^64 whatever the base, and texts of one repeated passage."""
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    points = rolling.code_points(word + other)
+    weak = rolling.hashes(rolling.prefix_sums(points), np.array([0, 2048]), np.array([2048, 4096]))
+    assert weak[0] == weak[1]  # the hash that only chooses candidates
+    for base in rolling.PRIME_BASES:
+        strong = rolling.prime_hashes(rolling.prime_sums(points, base), np.array([0, 2048]), 2048, base)
+        assert strong[0] != strong[1]
+        at = np.array([5, 2000])
+        power = lambda s, base=base: sum((int(points[s + k]) + 1) * pow(base, k, rolling.PRIME) for k in range(7)) % rolling.PRIME
+        assert rolling.prime_hashes(rolling.prime_sums(points, base), at, 7, base).tolist() == [power(5), power(2000)]
+    corpus = [("t1", word[:1200]), ("t2", other[:1200]), ("p1", "abc" * 200), ("p2", "x" + "abc" * 90), ("p3", "cab" * 30 + "y" * 300), ("p4", "y" * 299)]
+    for span in (64, 300):
+        out = shared_spans.shared_intervals(spark.createDataFrame(corpus, "i string, t string"), id="i", text="t", span=span, anchor=16)
+        assert {tuple(r) for r in out.select("doc", "start_pos", "end_pos").collect()} == brute_spans(corpus, span)
