@@ -1,8 +1,8 @@
 """Problem 7: evaluation texts leaking into training text.
 
 1. The corpus is read once, whatever the number of items. A document goes on if
-   the hash of any `least` successive words of it is set in a bitmap of the
-   hashes of the items' words; no leak is lost, and the bitmap has a fixed size.
+   the hash of any `least` successive words of it is set in a Bloom filter of the
+   hashes of the items' words; no leak is lost, and the filter's size is bounded.
 2. Items lie in blocks of bounded size, and each document that is left meets the
    blocks that hold one of its hashes (a join; with one block all meet it).
 3. The documents of a block are cut into shards. Each shard gets a suffix array
@@ -43,6 +43,8 @@ LEAST = 13
 ITEM_CHARS, SHARD_CHARS = 4_000_000, 4_000_000
 #: Bits of the filter, at most: 16 MB, which is what is broadcast. Beyond some ten million item words more documents pass it, none is lost.
 FILTER_BITS = 1 << 27
+#: Odd factors, one for each place that a hash has in the filter.
+PROBES = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93]
 #: Rows of (place, document) pairs that are looked at together.
 CHUNK = 1 << 21
 
@@ -94,28 +96,38 @@ def _grams_of_items(least: int):
     return run
 
 
+def probes(grams: np.ndarray, bits: int) -> list[np.ndarray]:
+    """The places of each gram in a filter of 2^bits bits."""
+    return [(grams.view(np.uint64) * np.uint64(odd)) >> np.uint64(64 - bits) for odd in PROBES]
+
+
 def filter_of(grams: DataFrame, most: int = FILTER_BITS) -> np.ndarray:
-    """A bitmap with the low bits of each gram set, about 16 bits a gram, at most `most` bits."""
-    n = grams.count()
-    bits = 1 << 16
-    while bits < most and bits < 16 * n:
-        bits *= 2
-    place = F.col("gram").bitwiseAND(F.lit(bits - 1))
-    words = grams.groupBy(F.shiftright(place, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast((gram & {bits - 1}L) % 64 as int))")).alias("bits")).toPandas()  # at most `most` / 64 rows
-    out = np.zeros(bits // 64, np.int64)
+    """A bitmap with every probe of each gram set, about 64 bits a gram, at most `most` bits. What is collected has a row per 64 bits."""
+    n, bits = grams.count(), 16
+    while 1 << bits < most and 1 << bits < 64 * n:
+        bits += 1
+
+    def run(batches):
+        for df in batches:
+            place = np.unique(np.concatenate(probes(df["gram"].to_numpy(np.int64), bits)))
+            yield pd.DataFrame({"at": (place >> np.uint64(6)).astype(np.int64), "bits": (np.uint64(1) << (place & np.uint64(63))).view(np.int64)})
+
+    words = grams.select("gram").mapInPandas(run, "at bigint, bits bigint").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
+    out = np.zeros((1 << bits) // 64, np.int64)
     out[words["at"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
-    return out
+    return out.view(np.uint64)
 
 
 def _candidates(filled: np.ndarray, least: int):
-    mask = np.int64(len(filled) * 64 - 1)
+    bits = (len(filled) * 64 - 1).bit_length()
 
     def run(batches):
         for df in batches:
             for at, starts, points in blocks(range(len(df)), map(folded, df["text"])):
                 grams, text = gram_hashes(starts, points, least)
-                low = grams & mask
-                hit = (filled[low >> 6] >> (low & 63)) & 1 == 1
+                hit = np.ones(len(grams), bool)
+                for place in probes(grams, bits):
+                    hit &= (filled[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
                 found = pd.DataFrame({"at": at[text[hit]], "gram": grams[hit]}).drop_duplicates()
                 if len(found):
                     per = found.groupby("at")["gram"].agg(list)
