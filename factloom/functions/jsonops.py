@@ -89,7 +89,7 @@ def redacted(payload: Column, patterns: list[str] | None = None) -> Column:
 
     @F.pandas_udf(T.StringType())
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if _loaded(t) is None else dumps(redact(_loaded(t), rules)))
+        return texts.map(lambda t: None if (v := _loaded(t)) is None else dumps(redact(v, rules)))
 
     return run(payload)
 
@@ -99,7 +99,7 @@ def shortened(payload: Column, string: int = 512, collection: int = 50, depth: i
 
     @F.pandas_udf(T.StringType())
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if _loaded(t) is None else json.dumps(shorten(_loaded(t), string, collection, depth), ensure_ascii=False, separators=(",", ":")))
+        return texts.map(lambda t: None if (v := _loaded(t)) is None else json.dumps(shorten(v, string, collection, depth), ensure_ascii=False, separators=(",", ":")))
 
     return run(payload)
 
@@ -120,14 +120,11 @@ def subset_of(left: Column, right: Column) -> Column:
 
 
 def counts_of(payload: Column, names: list[str]) -> Column:
-    """Integer values of the named keys, as a map."""
-
-    @F.pandas_udf(T.MapType(T.StringType(), T.LongType()))
-    def run(texts: pd.Series) -> pd.Series:
-        pick = lambda v: {k: v[k] for k in names if isinstance(v.get(k), int) and not isinstance(v[k], bool)}
-        return texts.map(lambda t: pick(v) if isinstance(v := _loaded(t), dict) else {})
-
-    return run(payload)
+    """Integer values of the named keys, as a map; empty for what is no object."""
+    doc = F.try_parse_json(payload)
+    at = lambda k: F.try_variant_get(doc, f"$['{k}']", "variant")
+    entry = lambda k: F.when(F.schema_of_variant(at(k)) == "BIGINT", F.struct(F.lit(k).alias("key"), F.try_variant_get(doc, f"$['{k}']", "bigint").alias("value")))
+    return F.map_from_entries(F.array_compact(F.array(*(entry(k) for k in dict.fromkeys(names)))))
 
 
 def json_path(path: str) -> str:

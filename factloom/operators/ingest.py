@@ -43,6 +43,16 @@ def merge_lines(df: DataFrame, key: str, line: Column) -> DataFrame:
     return per_line.groupBy(key).agg(F.min("line").alias("line"), F.sum("n").alias("n_delivered"), F.count(F.lit(1)).alias("n_lines"))
 
 
+def spooled_bytes(lines: DataFrame, keys: list[str], line: str) -> DataFrame:
+    """(keys, n_lines, n_bytes): lines and their bytes, null lines left out."""
+    return lines.groupBy(*keys).agg(F.count(line).alias("n_lines"), F.coalesce(F.sum(F.octet_length(line)), F.lit(0)).alias("n_bytes"))
+
+
+def content_key(**parts: Column) -> Column:
+    """A digest of named values: SHA-256 of their JSON object with keys in order. Null values are left out."""
+    return F.sha2(F.to_json(F.struct(*(parts[k].alias(k) for k in sorted(parts)))), 256)
+
+
 def require_no_conflict(merged: DataFrame) -> DataFrame:
     """Raises on the first key with differing lines."""
     bad = merged.where("n_lines > 1").limit(1).collect()

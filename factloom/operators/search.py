@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 
 from factloom.plans.model import kind_rank
 from factloom.plans.query_lang import owner_field_pairs, split_terms
+from factloom.scratch import stage
 
 # Weights of the searched fields, the bonus, the exact hits shown first per kind.
 WEIGHTS = {"name_cf": 3, "desc_cf": 2, "caller_cf": 2, "callee_cf": 2, "source_cf": 1, "owner_cf": 1}
@@ -62,6 +63,12 @@ def _positioned(top: DataFrame, keys: list[Column]) -> DataFrame:
     return top.withColumn("position", F.row_number().over(Window.partitionBy(F.lit("top")).orderBy(*keys)))
 
 
+def page(df: DataFrame, order: list, limit: int) -> tuple[DataFrame, bool]:
+    """The first `limit` rows in order, and whether there are more, for which one row more is asked for."""
+    more = stage(df.orderBy(*order).limit(limit + 1), "page")
+    return more.orderBy(*order).limit(limit), more.count() > limit
+
+
 def owner_alias_match(query: str) -> Column:
     """Whether a field fact is named by `owner field` identifiers: its name, and the owner inside its owner text."""
     hit = F.lit(False)

@@ -116,6 +116,18 @@ class Store:
         """Whether a snapshot has been published here."""
         return self._exists("snapshots", "current")
 
+    def drop(self) -> None:
+        """Removes the whole store."""
+        self._fs.delete(self._path(), True)
+
+    def reap_staging(self, older_than: float, now: float | None = None) -> int:
+        """Removes what publications that never ended left behind, if it is older than so many seconds; returns how many."""
+        gone, limit = 0, ((now or time.time()) - older_than) * 1000
+        for s in self._fs.listStatus(self._path()) if self._fs.exists(self._path()) else []:
+            if s.getPath().getName().startswith("staging-") and s.getModificationTime() < limit:
+                gone += self._fs.delete(s.getPath(), True)
+        return gone
+
     # publishing
 
     def publish(self, facts: DataFrame, relatives: DataFrame, inventory: DataFrame | None = None, *, check: bool = True) -> dict:
@@ -245,8 +257,8 @@ class Store:
                     self._fs.delete(s.getPath(), True)
 
 
-def export_lines(df: DataFrame, key: str, kind: str, path: str) -> None:
+def export_lines(df: DataFrame, key: str, kind: str, path: str, mode: str = "error") -> None:
     """Stored lines (schema_version, key, kind, payload, payload_sha256) as gzip JSON, sorted by key within each file."""
     payload = canonical_json(F.to_json(F.struct(*df.columns)))
     out = df.select(F.lit(SCHEMA_VERSION).alias("schema_version"), key, F.col(kind), payload.alias("payload")).withColumn("payload_sha256", F.sha2("payload", 256))
-    out.repartitionByRange(key).sortWithinPartitions(key).write.option("compression", "gzip").json(path)
+    out.repartitionByRange(key).sortWithinPartitions(key).write.mode(mode).option("compression", "gzip").json(path)
