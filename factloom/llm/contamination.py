@@ -268,7 +268,7 @@ def find_leaks(docs: DataFrame, evals: DataFrame, *, id: str, text: str, item: s
     filled = filter_of(grams, FILTER_BITS)
     kept = stage(texts.mapInPandas(_candidates(filled, least), f"doc {doc_type}, text string, grams array<bigint>"), "candidates")
     if n_blocks == 1:
-        routed = kept.select("doc", "text", F.lit(0).cast("bigint").alias("block"))
+        routed = kept.select("doc", "text", F.col("doc").isNull().cast("bigint").alias("block"))  # 0
     else:
         wanted = spread_join(kept.select("doc", F.explode("grams").alias("gram")), grams, "gram", ["doc"]).select("doc", "block").distinct()
         routed = stage(kept.select("doc", "text").join(wanted, "doc"), "routed")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,10 +104,21 @@ select doc_id, k::int as piece, k * 1024 as first_token, least(1024, n - k * 102
 P6_INVARIANTS_SQL = _P6_SIZES + """select count(*) as n_docs, sum(n)::bigint as n_tokens, sum(greatest(1, (n + 1023) // 1024))::bigint as n_pieces,
 0::bigint as n_needless, 0::bigint as n_repeated, 0::bigint as n_overfull, 0::bigint as n_crowded, 0::bigint as n_unplaced from size"""
 
-# DuckDB knows NFC only; it differs from NFKC where a passage holds compatibility forms.
-_P7_GRAMS = r"""
-with dw as (select doc_id, regexp_extract_all(lower(nfc_normalize(text)), '[\p{L}\p{N}]+') as w from documents where text is not null),
-iw as (select item_id, regexp_extract_all(lower(nfc_normalize(text)), '[\p{L}\p{N}]+') as w from eval_items),
+
+
+def _nfkc(text: str) -> str:
+    """SQL for NFKC, which DuckDB lacks: its NFC after the compatibility forms of one character, and the Latin ligatures, were replaced; longer forms stay."""
+    own = lambda c: unicodedata.normalize("NFKC", c)
+    single = [c for c in map(chr, [*range(0xA0, 0xD800), *range(0xE000, 0x10000)]) if len(own(c)) == 1 and own(c) != unicodedata.normalize("NFC", c)]
+    quoted = lambda chars: "'" + "".join(chars).replace("'", "''") + "'"
+    for c in map(chr, range(0xFB00, 0xFB07)):
+        text = f"replace({text}, '{c}', '{own(c)}')"
+    return f"nfc_normalize(translate({text}, {quoted(single)}, {quoted(map(own, single))}))"
+
+
+_P7_GRAMS = rf"""
+with dw as (select doc_id, regexp_extract_all(lower({_nfkc('text')}), '[\p{{L}}\p{{N}}]+') as w from documents where text is not null),
+iw as (select item_id, regexp_extract_all(lower({_nfkc('text')}), '[\p{{L}}\p{{N}}]+') as w from eval_items),
 dg as (select doc_id, i, array_to_string(w[i:i+12], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 11)) as i from dw where len(w) >= 13)),
 ig as (select item_id, i, array_to_string(w[i:i+12], ' ') as g from (select item_id, w, unnest(range(1, len(w) - 11)) as i from iw where len(w) >= 13))
 """
@@ -115,7 +128,7 @@ P7_LONGEST_SQL = _P7_GRAMS + """, hit as (select doc_id, item_id, dg.i, dg.i - i
 runs as (select doc_id, item_id, diagonal, i - row_number() over (partition by doc_id, item_id, diagonal order by i) as run from hit),
 longest as (select doc_id, item_id, max(n) + 12 as n_words from (select doc_id, item_id, count(*) as n from runs group by doc_id, item_id, diagonal, run) group by all),
 spots as (select distinct doc_id, item_id, i from hit), gaps as (select *, i - lag(i) over (partition by doc_id, item_id order by i) as gap from spots),
-cover as (select doc_id, item_id, (count(*) filter (gap > 13) + 1)::int as n_passages, (coalesce(sum(least(gap, 13)), 0) + 13)::int as n_covered from gaps group by all)
+cover as (select doc_id, item_id, (count(*) filter (gap > 13) + 1)::int as n_passages, (sum(case when gap is null then 13 else least(gap, 13) end))::int as n_covered from gaps group by all)
 select doc_id, item_id, n_words::int as n_words, n_passages, n_covered from longest join cover using (doc_id, item_id)"""
 P7_CLEAN_SQL = f"with bad as ({P7_FOUND_SQL}) select doc_id, source, n_chars from documents where doc_id not in (select doc_id from bad)"
 
