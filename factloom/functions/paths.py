@@ -94,3 +94,9 @@ def window_of_lines(text: Column, line: Column, radius: int) -> Column:
         (line >= 1) & (line <= n),
         F.struct(start.alias("start_line"), end.alias("end_line"), F.slice(lines, start, end - start + 1).alias("lines"), ((start > 1) | (end < n)).alias("truncated")),
     )
+
+
+def compacted(col: Column, chars: int = 512) -> Column:
+    """A text on one line, at most `chars` characters, an ellipsis where cut; the column twin of `csource.compact_condition`."""
+    flat = F.regexp_replace(F.regexp_replace(col, r"(?U)\s+", " "), r"^ | \z", "")
+    return F.when(F.length(flat) <= chars, flat).otherwise(F.concat(F.regexp_replace(F.substring(flat, 1, chars - 3), r" \z", ""), F.lit("...")))

@@ -43,6 +43,27 @@ def merge_lines(df: DataFrame, key: str, line: Column) -> DataFrame:
     return per_line.groupBy(key).agg(F.min("line").alias("line"), F.sum("n").alias("n_delivered"), F.count(F.lit(1)).alias("n_lines"))
 
 
+def map_files(files: DataFrame, work, fields: str) -> DataFrame:
+    """(path, error, rows): what `work(text)` makes of each file (path, text), a list of dicts of `fields`.
+
+    A file on which it raises gives a row with the error's name and text, and
+    stops no other file. A null text has no rows.
+    """
+    names = [f.split()[0] for f in fields.split(", ")]
+
+    def run(batches):
+        for df in batches:
+            out = []
+            for path, text in zip(df["path"], df["text"]):
+                try:
+                    out.append((path, None, [{n: r.get(n) for n in names} for r in (work(text) if text is not None else [])]))
+                except Exception as e:  # noqa: BLE001  whatever went wrong is the result
+                    out.append((path, f"{type(e).__name__}: {e}"[:500], []))
+            yield pd.DataFrame(out, columns=["path", "error", "rows"])
+
+    return files.select("path", "text").mapInPandas(run, f"path string, error string, rows array<struct<{', '.join(f.replace(' ', ':', 1) for f in fields.split(', '))}>>")
+
+
 def spooled_bytes(lines: DataFrame, keys: list[str], line: str) -> DataFrame:
     """(keys, n_lines, n_bytes): lines and their bytes, null lines left out."""
     return lines.groupBy(*keys).agg(F.count(line).alias("n_lines"), F.coalesce(F.sum(F.octet_length(line)), F.lit(0)).alias("n_bytes"))

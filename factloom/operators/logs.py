@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.functions.jsonops import redacted, shortened
+
 # Fixed values of the log format.
 MAX_LINE = 64 * 1024
 SCHEMAS = [1, 2]
@@ -86,3 +88,40 @@ def newest(df: DataFrame, key: str, keep: int, except_for: str | None = None) ->
     if except_for is None:
         return top
     return df.where(F.col("digest") == except_for).unionByName(df.where(F.col("digest") != except_for).orderBy(F.desc(key)).limit(max(0, keep - 1)))
+
+
+# --- writing -------------------------------------------------------------------------------------
+
+
+def iso_micros(ts: Column) -> Column:
+    """UTC time as text with microseconds and a Z."""
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+
+
+def millis_between(start: Column, end: Column) -> Column:
+    """Milliseconds from one time to another."""
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    return (micros(end) - micros(start)) / F.lit(1000.0)
+
+
+def event_lines(events: DataFrame, payload: str | None = None) -> DataFrame:
+    """(channel, value): JSON lines of events; secrets of the payload are hidden and long ones cut, and a line that still is too long goes without payload."""
+    columns = [c.split()[0] for c in EVENT_SCHEMA.split(", ")]
+    rows = events if payload is None else events.withColumn(payload, shortened(redacted(F.col(payload))))
+    line = lambda cols: F.to_json(F.struct(*(F.col(c) for c in cols if c in rows.columns)))
+    whole = line(columns)
+    return rows.select("channel", F.when(F.octet_length(whole) + 1 > MAX_LINE, line([c for c in columns if c != payload])).otherwise(whole).alias("value"))
+
+
+def append_events(events: DataFrame, folder: str, payload: str | None = None, mode: str = "append") -> None:
+    """Appends events to the logs of a folder, one log per channel."""
+    lines = event_lines(events, payload)
+    for r in lines.select("channel").distinct().collect():  # a log is a file of the folder; there are few channels
+        lines.where(F.col("channel") == r[0]).select("value").write.mode(mode).text(f"{folder}/{r[0]}.jsonl")
+
+
+def query_event(name: str, result, limit: int, duration_ms: float, timestamp: str) -> dict:
+    """The event that tells of an answered query: counts and flags, no texts of the query."""
+    status = "ok" if result.status in ("ok", "too_broad") else "warning"
+    counts = {"total": result.total, "returned": len(result.rows), "limit": limit, "visited": result.visited, "edges": result.edges, "complete": int(result.complete)}
+    return {"schema_version": 2, "event_name": name, "timestamp": timestamp, "status": status, "duration_ms": float(duration_ms), "channel": "queries", "summary": result.status, "counts": counts}

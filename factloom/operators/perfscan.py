@@ -12,21 +12,34 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from factloom.functions import csource
+from factloom.operators.ingest import map_files
 from factloom.plans.model import lookup
 
 FINDINGS = "path string, rule_id string, severity string, confidence string, line int, column int, function string, symbol string, snippet string, loop_start_line int, loop_end_line int, loop_depth int, loop_header string"
 COLUMNS = [c.split()[0] for c in FINDINGS.split(", ")]
 
 
-def _scan(batches):
-    for df in batches:
-        rows = [{"path": p, **f} for p, t in zip(df["path"], df["text"]) if t is not None for f in csource.scan(t)]
-        yield pd.DataFrame(rows, columns=COLUMNS)
+def scan_sources(files: DataFrame) -> DataFrame:
+    """Findings of files (path, text); a file that can't be scanned has none and stops no other (see `ingest.map_files`)."""
+    return found_in(map_files(files, csource.scan, FINDINGS.partition(", ")[2]))
 
 
-def scan_sources(files: DataFrame) -> DataFrame:
-    """Findings of files (path, text)."""
-    return files.select("path", "text").mapInPandas(_scan, FINDINGS)
+def found_in(items: DataFrame) -> DataFrame:
+    """The findings of the work items that succeeded."""
+    return items.where("error is null").select("path", F.explode("rows").alias("x")).select("path", "x.*")
+
+
+def explain_rule(rule_id: str) -> dict:
+    """What a rule looks for, how it is ranked and what it means; an unknown id raises with those that are known."""
+    if rule_id not in csource.RULES:
+        raise ValueError(f"unknown rule {rule_id}; known are {', '.join(sorted(csource.RULES))}")
+    return {"rule_id": rule_id, "title": csource.RULES[rule_id], "calls": csource.CALLS.get(rule_id, []), "advice": csource.ADVICE[rule_id]}
+
+
+def summary_lines(findings: DataFrame, most: int = 5) -> list[str]:
+    """The worst findings as lines for people."""
+    rows = rank_findings(findings, limit=most).orderBy("id").collect()
+    return [f"{r['id']} {r['severity']}/{r['confidence']} {r['path']}:{r['line']} {csource.RULES[r['rule_id']]}" for r in rows]
 
 
 def source_shape(files: DataFrame) -> DataFrame:

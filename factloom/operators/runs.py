@@ -40,8 +40,8 @@ def elapsed_ms(seconds: Column) -> Column:
 
 
 def test_results(tests: DataFrame) -> DataFrame:
-    """(run_id, results): a map of test name to its last status."""
-    last = tests.groupBy("run_id", test_name(F.col("suite"), F.col("name")).alias("test")).agg(F.max_by("status", "pos").alias("status"))
+    """(run_id, results): a map of test name to its last status (at one place the largest)."""
+    last = tests.groupBy("run_id", test_name(F.col("suite"), F.col("name")).alias("test")).agg(F.max(F.struct("pos", "status"))["status"].alias("status"))
     return last.groupBy("run_id").agg(F.map_from_entries(F.collect_list(F.struct("test", "status"))).alias("results"))
 
 
@@ -120,3 +120,25 @@ def keep_proven(old: DataFrame, new: DataFrame) -> DataFrame:
     o = old.select("target_id", F.col("spec_digest").alias("s0"), F.col("sources_digest").alias("c0"), F.col("proven").alias("p0"))
     same = F.col("s0").eqNullSafe(F.col("spec_digest")) & F.col("c0").eqNullSafe(F.col("sources_digest"))
     return new.join(o, "target_id", "left").withColumn("proven", F.coalesce(F.col("p0") & same, F.lit(False))).drop("s0", "c0", "p0")
+
+
+def run_states(log: DataFrame, alive: DataFrame) -> DataFrame:
+    """(run_id, state, result) of runs, from a log of rows (run_id, seq, action, state, result, worker).
+
+    Actions: `insert` starts a run; `finish` sets its state whatever it was;
+    `finish_if_running` only if nothing has finished it. A run that still is
+    running but whose worker is not in `alive`(worker) has failed: worker_lost.
+    A run without insert is unknown. One row per run is kept; its log may be in any order.
+    """
+    of = lambda a: F.col("action") == a
+    row = F.struct("seq", "state", "result")
+    per = log.groupBy("run_id").agg(
+        F.max(F.when(of("finish"), row)).alias("last"), F.min(F.when(of("finish_if_running"), row)).alias("first"), F.max(F.when(of("insert"), F.struct("seq", "worker"))).alias("began")
+    )
+    known = alive.select("worker").distinct().withColumn("_alive", F.lit(True))
+    ended = F.coalesce("last", "first")
+    out = per.withColumn("worker", F.col("began.worker")).join(known, "worker", "left")
+    lost = F.col("worker").isNotNull() & F.col("_alive").isNull()
+    state = F.when(F.col("began").isNull(), "unknown").when(ended.isNotNull(), ended["state"]).when(lost, "failed").otherwise("running")
+    result = F.when(F.col("began").isNull(), None).when(ended.isNotNull(), ended["result"]).when(lost, "worker_lost")
+    return out.select("run_id", state.alias("state"), result.alias("result"))

@@ -250,7 +250,8 @@ def reachable_full_depth(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([_reach(spark, d, REACH_DEPTH)], "reachable boolean, hops int, complete boolean")
 
 
-@query()
+@query(_closure_sql("b", "a", 1, _busiest_sql("function", "direct_call", "to_fact_id")).replace(ROLLED, """, hits as (select o.*, f.object_name, f.source_path, count(*) over () as total from rolled o join f on f.object_id = o.endpoint_id)
+select endpoint_id as object_id, hop, instances, case when total > 20 then 'too_broad' else 'ok' end as status, total from hits order by hop, salience, instances desc, has_unconditional desc, object_name, source_path, endpoint_id limit 20"""))
 def relation_search_text(spark: SparkSession, d: str) -> DataFrame:
     """The search language end to end: budgeted callers closure."""
     view = _graph(spark, d)
@@ -340,10 +341,12 @@ def merge_conflicts(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-@query()
+@query("with p as (select object_id, arg_min(payload, ingested_at) as p, min(ingested_at) as seq from facts where object_id is not null group by 1) select object_id, seq, false as conflict, p->>'$.fact_kind' as fact_kind, (p->>'$.line')::bigint as line, p->>'$.source_id' as source_id from p")
 def merge_spool(spark: SparkSession, d: str) -> DataFrame:
     """Fact payloads merged by id: the first delivery wins, of equals the larger one."""
-    return ingest.merge_spool(table(spark, d, "facts").where("object_id is not null").withColumn("seq", F.col("ingested_at")), "object_id", "payload", "seq")
+    out = ingest.merge_spool(table(spark, d, "facts").where("object_id is not null").withColumn("seq", F.col("ingested_at")), "object_id", "payload", "seq")
+    at = lambda k: F.get_json_object("payload", f"$.{k}")
+    return out.select("object_id", "seq", "conflict", at("fact_kind").alias("fact_kind"), at("line").cast("bigint").alias("line"), at("source_id").alias("source_id"))
 
 
 @query("select object_id, max((delivered_at, snapshot_id))[1] as delivered_at, max((delivered_at, snapshot_id))[2] as snapshot_id from fact_snapshots group by 1")
@@ -372,7 +375,12 @@ def snapshot_edge_counters(spark: SparkSession, d: str) -> DataFrame:
     return base_view(spark, d).relatives.groupBy("relation_kind").agg(F.count(F.lit(1)).alias("n"), F.count("condition").alias("n_conditional"))
 
 
-@query()
+@query("""with p as (select 'facts' as "table", case when coalesce(object_id, '') = '' then 'invalid_object_id' when coalesce(object_name, '') = '' then 'invalid_object_name' when coalesce(object_description, '') = '' then 'invalid_object_description'
+when coalesce(object_source, '') = '' then 'invalid_object_source' when coalesce(object_profile, '') = '' then 'invalid_object_profile' when not coalesce(json_valid(payload) and json_type(payload) = 'OBJECT', false) then 'invalid_payload' when octet_length(encode(payload)) > 4096 then 'payload_too_large' end as problem from facts
+union all select 'relatives', case when coalesce(relative_id, '') = '' then 'invalid_relative_id' when coalesce(from_fact_id, '') = '' then 'invalid_from_fact_id' when coalesce(to_fact_id, '') = '' then 'invalid_to_fact_id' when coalesce(object_profile, '') = '' then 'invalid_object_profile'
+when coalesce(evidence_source, '') = '' then 'invalid_evidence_source' when not coalesce(relation_kind in ('include', 'defines', 'declares', 'has_field', 'direct_call', 'assigned_to', 'dispatches_via', 'field_read', 'field_write'), false) then 'invalid_relation_kind'
+when not coalesce(confidence between 0 and 1, false) then 'invalid_confidence' when condition is not null and not coalesce(condition.kind in ('branch', 'case', 'loop_guard', 'compile_guard', 'unknown'), false) then 'invalid_condition'
+when octet_length(encode(payload)) > 2048 then 'payload_too_large' end from relatives) select "table", problem, count(*) as n from p where problem is not null group by all""")
 def invalid_rows(spark: SparkSession, d: str) -> DataFrame:
     """Stored rows that break a rule of the model, counted by rule."""
     f = table(spark, d, "facts").select(F.lit("facts").alias("table"), fact_problem().alias("problem"))
@@ -602,17 +610,6 @@ def task_list_flatten(spark: SparkSession, d: str) -> DataFrame:
 # --- static scan, payload shaping ----------------------------------------------------------------
 
 
-def _findings(spark, d) -> DataFrame:
-    files = table(spark, d, "documents").where("kind = 'source_file'").select(F.concat_ws("#", "rel_path", F.col("doc_id").cast("string")).alias("path"), "text")
-    return perfscan.scan_sources(files)
-
-
-@query()
-def findings_ranked(spark: SparkSession, d: str) -> DataFrame:
-    """The 50 worst performance findings of all source texts."""
-    return perfscan.rank_findings(_findings(spark, d)).select("id", "path", "rule_id", "severity", "confidence", "line", "column", "function", "symbol")
-
-
 @query()
 def source_shape(spark: SparkSession, d: str) -> DataFrame:
     """Loops, functions, guarded lines and declared tests of every source text."""
@@ -620,11 +617,6 @@ def source_shape(spark: SparkSession, d: str) -> DataFrame:
     return perfscan.source_shape(files)
 
 
-@query()
-def finding_counts(spark: SparkSession, d: str) -> DataFrame:
-    return perfscan.count_findings(_findings(spark, d), "rule_id")
-
-
 @query("""with s as (select o_custkey, o_orderkey as start, floor(o_orderkey + o_totalprice / 20)::bigint as "end" from orders)
 select s.o_custkey, s.start, s."end", (select count(*) from s o where o.o_custkey = s.o_custkey and o.start < s.start and s."end" <= o."end")::int as depth from s""")
 def loop_containment(spark: SparkSession, d: str) -> DataFrame:
@@ -633,11 +625,15 @@ def loop_containment(spark: SparkSession, d: str) -> DataFrame:
     return perfscan.containment_depth(spans, ["o_custkey"])
 
 
-@query()
+@query(f"""with {VIEW} select object_id, case when length(object_description) > 40 then substring(object_description, 1, 40) || '...[TRUNCATED]' else object_description end as description, payload->>'$.fact_kind' as kind_shown,
+case when length(typ) > 4 then substring(typ, 1, 4) || '...[TRUNCATED]' else typ end as type_shown, least(len(json_keys(payload)), 4)::int as n_fields from f""")
 def bounded_payloads(spark: SparkSession, d: str) -> DataFrame:
-    """Payload previews of all facts: eight fields, 128 characters each."""
+    """Payload previews of all facts: the first four fields by name with 4 characters each; the kind is asked with 128."""
     v = base_view(spark, d).facts
-    return v.select("object_id", truncated_text(F.col("object_description"), 40).alias("description"), bounded_payload(F.col("payload")).alias("p")).select("object_id", "description", "p.preview", "p.truncated")
+    short, kind = bounded_payload(F.col("payload"), fields=4, chars=4), bounded_payload(F.col("payload"))
+    rows = v.select("object_id", truncated_text(F.col("object_description"), 40).alias("description"), short.alias("s"), kind.alias("k"), bounded_payload(F.to_json(F.struct(F.col("type_name").alias("t"))), chars=4).alias("t"))
+    at = lambda c, k: F.get_json_object(c, k)
+    return rows.select("object_id", "description", at("k.preview", "$.fact_kind").alias("kind_shown"), at("t.preview", "$.t").alias("type_shown"), F.json_object_keys("s.preview").alias("_k")).select("object_id", "description", "kind_shown", "type_shown", F.size("_k").alias("n_fields"))
 
 
 @query("""select event_id, case when props is not null then '{"k":"[REDACTED]"}' end as props from events""")
@@ -649,17 +645,6 @@ def redacted_props(spark: SparkSession, d: str) -> DataFrame:
 # --- streams (drained at once) -------------------------------------------------------------------
 
 
-@query("select event_type as event_name, count(*) as n, round(sum(value), 2) as duration_ms from events group by 1")
-def stream_log_summary(spark: SparkSession, d: str) -> DataFrame:
-    """The log summary as a stream over the event file, drained."""
-    from factloom.streaming import feeds
-
-    schema = table(spark, d, "events").schema
-    stream = spark.readStream.schema(schema).format("parquet").load(f"{d}/events.parquet*")
-    counts = stream.groupBy(F.col("event_type").alias("event_name")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("duration_ms"))
-    return feeds.drain(counts, "stream_log_summary", "complete")
-
-
 @query("""with o as (select object_id as path, payload_sha256 as sha256, epoch_us(delivered_at) as seq from fact_snapshots where object_id is not null and payload_sha256 is not null),
 p as (select *, lag(sha256) over (partition by path order by seq) as previous from o) select path, sha256, previous, seq from p where previous is not null and previous <> sha256""")
 def change_feed(spark: SparkSession, d: str) -> DataFrame:

@@ -116,6 +116,10 @@ class Store:
         """Whether a snapshot has been published here."""
         return self._exists("snapshots", "current")
 
+    def names(self, *parts: str) -> list[str]:
+        """Names of the folders inside a folder of the store."""
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(*parts)) if s.isDirectory()) if self._exists(*parts) else []
+
     def drop(self) -> None:
         """Removes the whole store."""
         self._fs.delete(self._path(), True)
@@ -123,7 +127,7 @@ class Store:
     def reap_staging(self, older_than: float, now: float | None = None) -> int:
         """Removes what publications that never ended left behind, if it is older than so many seconds; returns how many."""
         gone, limit = 0, ((now or time.time()) - older_than) * 1000
-        for s in self._fs.listStatus(self._path()) if self._fs.exists(self._path()) else []:
+        for s in self._fs.listStatus(self._path()) if self._exists() else []:
             if s.getPath().getName().startswith("staging-") and s.getModificationTime() < limit:
                 gone += self._fs.delete(s.getPath(), True)
         return gone

@@ -6,15 +6,17 @@ twin whose result it must equal once the input is drained.
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from factloom.operators.ingest import latest_per_key
 from factloom.operators.logs import parse_lines
 from factloom.scratch import scratch_root
+from factloom.sources.store import Store
 
 
 def log_stream(spark: SparkSession, folder: str) -> DataFrame:
@@ -37,27 +39,39 @@ CHANGES = "path string, sha256 string, previous string, seq bigint"
 
 
 def _changes(key, batches, state: GroupState):
-    """Keeps the last digest of a path and tells each change of it."""
-    last, seq = state.get if state.exists else (None, -1)
-    rows = pd.concat(list(batches)).sort_values("seq")
-    out = []
-    for sha, n in zip(rows["sha256"], rows["seq"]):
-        if n <= seq:
-            continue
+    """Tells each change of a path's digest, in order of time: what came before the watermark is settled, the rest waits."""
+    last, seqs, shas = state.get if state.exists else (None, [], [])
+    waiting = list(zip(seqs, shas))
+    if not state.hasTimedOut:
+        for df in batches:
+            waiting += list(zip(df["seq"].tolist(), df["sha256"].tolist()))
+    waiting.sort()
+    settled, out = state.getCurrentWatermarkMs() * 1000, []
+    while waiting and waiting[0][0] <= settled:
+        n, sha = waiting.pop(0)
         if last is not None and sha != last:
-            out.append((key[0], sha, last, int(n)))
-        last, seq = sha, int(n)
-    state.update((last, seq))
+            out.append((key[0], sha, last, n))
+        last = sha
+    state.update((last, [n for n, _ in waiting], [s for _, s in waiting]))
+    if waiting:
+        state.setTimeoutTimestamp(max(waiting[0][0] // 1000 + 1, state.getCurrentWatermarkMs() + 1))
     yield pd.DataFrame(out, columns=["path", "sha256", "previous", "seq"])
 
 
-def stream_changes(observed: DataFrame) -> DataFrame:
-    """Changes of digests in a feed of observations (path, sha256, seq): state is one digest per path. A path's first digest is no change."""
-    return observed.where("path is not null and sha256 is not null").groupBy("path").applyInPandasWithState(_changes, CHANGES, "last string, seq bigint", "append", GroupStateTimeout.NoTimeout)
+def stream_changes(observed: DataFrame, late: str = "0 seconds") -> DataFrame:
+    """Changes of digests in a feed of observations (path, sha256, seq in microseconds), in any order of arrival.
+
+    An observation waits until the watermark, the latest seq less `late`, has
+    passed it, so order of arrival does not matter; what comes later than that
+    is dropped. State is a path's last digest and what waits. A path's first
+    digest is no change.
+    """
+    at = observed.where("path is not null and sha256 is not null and seq is not null").withColumn("at", F.timestamp_micros("seq")).withWatermark("at", late)
+    return at.groupBy("path").applyInPandasWithState(_changes, CHANGES, "last string, seqs array<bigint>, shas array<string>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def batch_changes(observed: DataFrame) -> DataFrame:
-    """The batch twin of `stream_changes`."""
+    """The batch twin of `stream_changes`: what it gives once the watermark has passed all observations."""
     from pyspark.sql.window import Window
 
     prev = F.lag("sha256").over(Window.partitionBy("path").orderBy("seq"))
@@ -89,39 +103,55 @@ def stream_session_states(records: DataFrame) -> DataFrame:
     return records.where("session is not null").groupBy("session").applyInPandasWithState(_fold, "session string, state string, seq bigint", "state string, seq bigint", "update", GroupStateTimeout.NoTimeout)
 
 
-def once_per(df: DataFrame, keys: list[str]) -> DataFrame:
-    """The first row of each key, in batch or stream: a refresh per match and round."""
-    return df.dropDuplicates(keys)
+def once_per(df: DataFrame, keys: list[str], ts: str | None = None, late: str = "1 hour") -> DataFrame:
+    """The first row of each key, such as a refresh per match and round.
+
+    In a stream name its time `ts`: a key is then forgotten when it has not been
+    seen for `late`, which bounds the state.
+    """
+    return df.dropDuplicates(keys) if ts is None else df.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
 
 
-def upsert_sink(path: str, keys: list[str], order: list[str]):
-    """A `foreachBatch` body that keeps a table at `path`/<batch id> with the latest row per key, and points to it.
+def upsert_sink(spark: SparkSession, path: str, keys: list[str], order: list[str], compact_every: int = 16):
+    """A `foreachBatch` body that keeps the latest row per key; `read_upserts` reads the table.
 
-    Idempotent: a batch that runs again rewrites its own folder from the one before.
+    A micro-batch writes its own latest rows only. Every `compact_every` batches
+    they are put together with those before, a pointer is moved to the new
+    table in one step, and what it replaces is removed at the next time. A batch
+    that runs again rewrites its own folder.
     """
+    store = Store(spark, path)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        old = f"{path}/batch={batch_id - 1}"
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(old)
-        rows = batch
-        if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-            rows = spark.read.parquet(old).unionByName(batch)
-        latest_per_key(rows, keys, order).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        latest_per_key(batch, keys, order).write.mode("overwrite").parquet(f"{path}/delta/batch={batch_id}")
+        if (batch_id + 1) % compact_every == 0:
+            latest_per_key(read_upserts(spark, path, keys, order), keys, order).write.mode("overwrite").parquet(f"{path}/base/to={batch_id}")
+            store._write(str(batch_id), "current")
+            for name in store.names("base"):
+                if int(name.split("=")[1]) < batch_id - compact_every:
+                    store._fs.delete(store._path("base", name), True)
+            for name in store.names("delta"):
+                if int(name.split("=")[1]) <= batch_id - compact_every:
+                    store._fs.delete(store._path("delta", name), True)
 
     return write
 
 
-def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that is there now into a memory table, which only suits small results."""
-    spark = stream.sparkSession
-    at = f"{scratch_root(spark)}/stream-{name}-{__import__('uuid').uuid4().hex}"
-    q: StreamingQuery = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", at).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+def read_upserts(spark: SparkSession, path: str, keys: list[str], order: list[str]) -> DataFrame:
+    """The latest row per key of a table that `upsert_sink` keeps."""
+    store = Store(spark, path)
+    to = int(store._read("current") or -1)
+    parts = [f"{path}/delta/{n}" for n in store.names("delta") if int(n.split("=")[1]) > to] + ([f"{path}/base/to={to}"] if to >= 0 else [])
+    return latest_per_key(spark.read.parquet(*parts), keys, order)
 
 
-def drain_to(stream: DataFrame, path: str) -> DataFrame:
-    """Runs an append stream over all that is there now into Parquet at `path`."""
-    stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}.checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    """Runs a stream over all that is there now into Parquet; each batch of a complete stream replaces the one before."""
+    spark = stream.sparkSession
+    at = f"{scratch_root(spark)}/stream-{name}-{uuid.uuid4().hex}"
+    keep = "overwrite" if mode == "complete" else "append"
+    # An append is made to the batch's own folder, so that a batch that runs again adds nothing.
+    into = lambda batch, n: batch.write.mode("overwrite").parquet(f"{at}/rows" if keep == "overwrite" else f"{at}/rows/{n}")
+    stream.writeStream.foreachBatch(into).outputMode(mode).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    empty = spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(f"{at}/rows") if Store(spark, at)._exists("rows") else empty

@@ -333,20 +333,73 @@ def test_file_scans(spark, tmp_path):
 
 
 def test_streams_equal_their_batch_twins(spark, tmp_path):
-    seen = [("p", "x", 1), ("p", "x", 2), ("p", "y", 3), ("q", "z", 1), ("p", "x", 4), (None, "x", 1)]
-    df = spark.createDataFrame(seen, "path string, sha256 string, seq long")
-    df.write.parquet(str(tmp_path / "obs"))
-    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "obs"))
-    got = feeds.drain_to(feeds.stream_changes(stream), str(tmp_path / "out"))
-    assert rows(got) == rows(feeds.batch_changes(df)) == [("p", "x", "y", 4), ("p", "y", "x", 3)]
+    day = 86_400_000_000
+    seen = [("p", "x", 1), ("p", "x", 2), ("p", "y", 3), ("q", "z", 1), ("p", "x", 4), (None, "x", 1), ("end", "e", 9)]
+    df = spark.createDataFrame([(p, s, n * day) for p, s, n in seen], "path string, sha256 string, seq long")
+    for part in ([4, 6], [2, 5], [0, 1, 3], [6]):  # the latest come first: a day of grace is not enough for them, ten are
+        df.where(F.col("seq").isin([seen[k][2] * day for k in part]) & F.coalesce(F.col("path").isin([seen[k][0] for k in part if seen[k][0]]), F.lit(True))).coalesce(1).write.mode("append").parquet(str(tmp_path / "obs"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "obs"))
+    got = feeds.drain(feeds.stream_changes(stream.union(stream.where("false")), "3 days"), "changes")
+    want = rows(feeds.batch_changes(df.where(f"seq <= {6 * day}")))
+    assert rows(got.distinct()) == want == [("p", "x", "y", 4 * day), ("p", "y", "x", 3 * day)]
     recs = spark.createDataFrame([("s", "exec", "stopped", 2), ("s", "result", "running", 1), ("t", "notify", "x", 1)], "session string, kind string, name string, seq long")
     recs.write.parquet(str(tmp_path / "recs"))
     states = feeds.drain(feeds.stream_session_states(spark.readStream.schema(recs.schema).parquet(str(tmp_path / "recs"))), "sessions", "update")
     assert rows(states, "session", "state") == [("s", "stopped"), ("t", "created")]
-    sink = feeds.upsert_sink(str(tmp_path / "sink"), ["path"], ["seq"])
-    sink(df.where("seq < 3"), 0)
-    sink(df.where("seq >= 3"), 1)
-    assert ("p", "x", 4) in rows(spark.read.parquet(str(tmp_path / "sink/batch=1")))
+
+
+def test_upsert_sink(spark, tmp_path):
+    at = str(tmp_path / "sink")
+    sink = feeds.upsert_sink(spark, at, ["k"], ["seq"], compact_every=2)
+    want = {}
+    for batch in range(7):
+        part = [(f"k{(batch * 3 + j) % 5}", batch * 10 + j) for j in range(4)]
+        for again in range(2):  # a batch that runs again changes nothing
+            sink(spark.createDataFrame(part, "k string, seq long"), batch)
+        want |= dict(part)
+        assert dict(rows(feeds.read_upserts(spark, at, ["k"], ["seq"]))) == want
+    assert (tmp_path / "sink/current").read_text() == "5" and len(list((tmp_path / "sink/delta").iterdir())) <= 4
+    once = spark.createDataFrame([("a", 1), ("a", 1), ("b", 1)], "k string, r int")
+    assert feeds.once_per(once, ["k", "r"]).count() == 2
+
+
+def test_debugger_lines():
+    from factloom.functions import mi
+
+    r = mi.parse('12^done,stack=[frame={level="0",func="main",line="3"}],value="a\\nb"')
+    assert (r["token"], r["kind"], r["class"]) == (12, "result", "done")
+    assert json.loads(r["results"]) == {"stack": [{"frame": {"level": "0", "func": "main", "line": "3"}}], "value": "a\nb"}
+    assert mi.parse('~"hello\\n"')["text"] == "hello\n" and mi.parse('~"hello"')["kind"] == "console" and mi.quote('a"b\\c') == '"a\\"b\\\\c"'
+    assert mi.parse("(gdb)") is None and mi.parse("") is None and mi.parse(None) is None and mi.parse("7")["token"] == 7
+    assert json.loads(mi.parse('*stopped,x="1",x={},x=[],bad')["results"]) == {"x": ["1", {}, []]}
+
+
+def test_work_items_and_states(spark):
+    from factloom.operators import perfscan
+
+    def work(text):
+        if text == "bad":
+            raise KeyError("k")
+        return [{"n": len(text), "extra": 1}]
+
+    files = spark.createDataFrame([("a", "xy"), ("b", "bad"), ("c", None)], "path string, text string")
+    out = {r["path"]: (r["error"], [x["n"] for x in r["rows"]]) for r in ingest.map_files(files, work, "n int").collect()}
+    assert out == {"a": (None, [2]), "b": ("KeyError: 'k'", []), "c": (None, [])}
+    assert perfscan.explain_rule("C.PERF.NESTED_LOOP")["advice"]
+    with pytest.raises(ValueError, match="unknown rule"):
+        perfscan.explain_rule("X")
+    log = [("a", 1, "insert", None, "w1"), ("a", 2, "finish_if_running", "failed", None), ("a", 3, "finish", "completed", None), ("b", 1, "insert", None, "w2"), ("c", 1, "insert", None, "w1"), ("d", 5, "finish", "completed", None), ("e", 1, "insert", None, None)]
+    rows_in = spark.createDataFrame([(i, n, a, s, "r", w) for i, n, a, s, w in log], "run_id string, seq int, action string, state string, result string, worker string")
+    got = {r["run_id"]: (r["state"], r["result"]) for r in runs.run_states(rows_in, spark.createDataFrame([("w1",)], "worker string")).collect()}
+    assert got == {"a": ("completed", "r"), "b": ("failed", "worker_lost"), "c": ("running", None), "d": ("unknown", None), "e": ("running", None)}
+
+
+def test_staging_left_behind_is_removed(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    assert store.reap_staging(10) == 0
+    (tmp_path / "s/staging-old").mkdir(parents=True)
+    (tmp_path / "s/snapshots").mkdir()
+    assert store.reap_staging(3600) == 0 and store.reap_staging(10, now=4e9) == 1 and (tmp_path / "s/snapshots").exists()
 
 
 def test_small_operators(spark):
