@@ -394,6 +394,30 @@ def test_work_items_and_states(spark):
     assert got == {"a": ("completed", "r"), "b": ("failed", "worker_lost"), "c": ("running", None), "d": ("unknown", None), "e": ("running", None)}
 
 
+@pytest.mark.parametrize("parts", [1, 8])
+def test_containment(spark, parts):
+    """Against all pairs; with 8 partitions, groups fill several, and one span is repeated often."""
+    import random
+
+    from factloom.operators import perfscan
+
+    rng = random.Random(parts)
+    spans = [(rng.choice(["a", "a", "a", "b", None]), s, s + rng.randrange(30)) for s in (rng.randrange(40) for _ in range(150))] + [("a", 5, 60)] * 40 + [("c", 1, 2), ("c", None, 3)]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = spark.createDataFrame([(*x, "clash") for x in spans], "g string, start int, end int, n string")
+        got = rows(perfscan.containment_depth(df, ["g"]), "g", "start", "end", "depth")
+        assert perfscan.containment_depth(df.limit(0), ["g"]).count() == 0
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    known = [x for x in spans if x[1] is not None]
+    want = [(g, s, e, 0 if s is None else sum(h == g and t < s and e <= f for h, t, f in known)) for g, s, e in spans]
+    assert got == sorted(want, key=repr)
+
+
 def test_staging_left_behind_is_removed(spark, tmp_path):
     store = Store(spark, str(tmp_path / "s"))
     assert store.reap_staging(10) == 0
