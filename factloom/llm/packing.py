@@ -221,8 +221,10 @@ def pack_blocks(items: DataFrame, capacity: int, n_blocks: int, level: int, evol
     islands = ISLANDS if evolving else 1
     state = gathered.select("block", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), "docs", "pieces", "sizes", F.lit(None).cast("array<binary>").alias("elites"))
     epochs = EPOCHS if evolving else 1
+    # A number is named, since islands are few bytes but much work: left to itself the engine would put them into few tasks.
+    tasks = min(islands * n_blocks, 4 * int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     for epoch in range(epochs):
-        state = stage(state.repartition(F.col("block"), F.col("island")).mapInPandas(_epoch(capacity, epoch, evolving), f"block bigint, island int, {block}, elites array<binary>"), "islands")
+        state = stage(state.repartition(tasks, F.col("block"), F.col("island")).mapInPandas(_epoch(capacity, epoch, evolving), f"block bigint, island int, {block}, elites array<binary>"), "islands")
         if epoch < epochs - 1:  # the elites go on to the next island, which keeps its own best too
             guests = state.select("block", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), F.col("elites").alias("guests"))
             state = state.join(guests.hint("merge"), ["block", "island"]).select("block", "island", "docs", "pieces", "sizes", F.concat(F.slice("elites", 1, 1), "guests").alias("elites"))
