@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from factloom.functions.jsonops import counts_of, subset_of
 from factloom.functions.paths import line_at, snippet
@@ -15,6 +14,7 @@ from factloom.scratch import dense_ordinals, numbered, scratch_root, stage, with
 from factloom.session import table
 from factloom.sources import library, scans
 from factloom.sources.store import Store, export_lines
+from factloom.streaming.incremental import Refresher
 
 # --- the published store -------------------------------------------------------------------------
 
@@ -115,6 +115,33 @@ def store_overlay(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+@query(f"""with {VIEW}, done as (select distinct source_path from f where length(source_path) % 2 = 0 and length(source_path) % 10 > 0),
+v as (select source_path from f where source_path not in (select source_path from done) union all select source_path from done) select source_path, count(*) as n_facts from v group by 1""")
+def incremental_refresh(spark: SparkSession, d: str) -> DataFrame:
+    """Facts per source after a stream told of changed sources: those are extracted again, some can't be, all others stay."""
+    store = library.published(spark, d)
+    at = f"{scratch_root(spark)}/watch-{abs(hash(d)):x}"
+    watch = Store(spark, at)
+    watch.drop()
+    paths = store.view().facts.select(F.col("source_path").alias("path")).distinct()
+    observed = paths.select("path", F.when(F.length("path") % 2 == 0, "b").otherwise("a").alias("sha256"), F.lit(2).cast("bigint").alias("seq"))
+    observed.write.mode("overwrite").parquet(f"{at}/feed")
+
+    def extract(text: str) -> list[dict]:
+        if len(text) % 10 == 0:
+            raise ValueError("can't be read")
+        return [{"object_id": f"new:{text}", "object_name": text, "object_description": "", "object_source": f"{text}:1", "object_profile": "debug", "payload": '{"fact_kind":"function"}'}]
+
+    refresher = Refresher(store, lambda dirty: dirty.withColumn("text", F.col("path")), extract)
+    store._fs.delete(store._path("digests"), True)
+    store.drop_overlay()
+    refresher.prime(paths.select("path", F.lit("a").alias("sha256"), F.lit(1).cast("bigint").alias("seq")))
+    refresher.start(spark.readStream.schema(observed.schema).parquet(f"{at}/feed"), f"{at}/checkpoint").awaitTermination()
+    if refresher.stop().error:
+        raise RuntimeError(refresher.status.error)
+    return refresher.view().facts.groupBy("source_path").agg(F.count(F.lit(1)).alias("n_facts"))
+
+
 @query(f"with {VIEW} select object_id, kind as fact_kind, true as sound, 1 as schema_version from f")
 def store_exported_lines(spark: SparkSession, d: str) -> DataFrame:
     """Facts written as gzip JSON lines with a digest each, scanned again and checked line by line."""

@@ -418,6 +418,33 @@ def test_containment(spark, parts):
     assert got == sorted(want, key=repr)
 
 
+def test_incremental_refresh(spark, tmp_path):
+    from factloom.streaming import incremental
+
+    def extract(text):
+        if "bad" in text:
+            raise ValueError("no")
+        return [{"object_id": i, "object_name": i, "object_source": f"{text.split('=')[0]}:1", "object_profile": "p", "payload": "{}"} for i in text.split("=")[1].split(",")]
+
+    store = Store(spark, str(tmp_path / "s"))
+    facts = [fact("a1", source="a.c:1"), fact("a2", source="a.c:2"), fact("b1", source="b.c:1")]
+    store.publish(spark.createDataFrame(facts, FACT), spark.createDataFrame([edge("a1", "b1"), edge("a2", "b1")], EDGE))
+    texts = {"a.c": "a.c=a2,a3", "b.c": "bad"}
+    r = incremental.Refresher(store, lambda dirty: dirty.withColumn("text", F.udf(lambda p: texts.get(p))("path")), extract)
+    seen = lambda *x: spark.createDataFrame(list(x), "path string, sha256 string, seq long")
+    r.prime(seen(("a.c", "1", 1), ("b.c", "1", 1)))
+    assert r.refresh(seen(("a.c", "1", 2), (None, "x", 2), ("b.c", None, 2))).dirty == 0
+    status = r.refresh(seen(("a.c", "2", 3), ("b.c", "2", 3)), 2)
+    assert (status.state, status.dirty, status.failed, status.failures) == ("ok", 2, 1, [("b.c", "ValueError: no")])
+    assert rows(r.view().facts, "object_id") == [("a2",), ("a3",), ("b1",)] and rows(r.view().relatives, "from_fact_id") == [("a2",)]
+    texts["b.c"] = "b.c=b1,b2"
+    assert r.refresh(seen(("b.c", "3", 4)), 3).dirty == 1
+    assert rows(r.view().facts, "object_id") == [("a2",), ("a3",), ("b1",), ("b2",)]
+    broken = incremental.Refresher(store, lambda dirty: dirty.select("nothing"), extract)
+    assert broken.refresh(seen(("a.c", "9", 9)), 4).state == "error" and incremental.state_of(spark, str(tmp_path / "s"))["error"]
+    assert rows(broken.view().facts, "object_id") == [("a2",), ("a3",), ("b1",), ("b2",)]
+
+
 def test_staging_left_behind_is_removed(spark, tmp_path):
     store = Store(spark, str(tmp_path / "s"))
     assert store.reap_staging(10) == 0
