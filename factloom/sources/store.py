@@ -16,6 +16,7 @@ import json
 import posixpath
 import time
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -144,20 +145,25 @@ class Store:
         began = time.time()
         try:
             at = lambda name: posixpath.join(self.root, staging, name)
-            stored = {}
-            for name, df in tables.items():
-                df.repartitionByRange(*(F.col(c) for c in SORTED[name])).sortWithinPartitions(*SORTED[name]).write.parquet(at(name))
-                stored[name] = self.spark.read.schema(df.schema).parquet(at(name))
-            if check:
-                self._check(stored)
-            stored["relatives"].repartitionByRange(*SORTED["relatives_by_to"]).sortWithinPartitions(*SORTED["relatives_by_to"]).write.parquet(at("relatives_by_to"))
-            digests = {f"{n}_sha256": table_digest(df.select(*OWN.get(n, df.columns))) for n, df in stored.items()}
+            def written(name: str, df: DataFrame, order: list[str]) -> DataFrame:
+                df.repartitionByRange(*(F.col(c) for c in order)).sortWithinPartitions(*order).write.parquet(at(name))
+                return self.spark.read.schema(df.schema).parquet(at(name))
+
+            with ThreadPoolExecutor(8) as pool:  # jobs that don't wait for each other, side by side
+                stored = dict(zip(tables, pool.map(lambda n: written(n, tables[n], SORTED[n]), tables)))
+                if check:
+                    self._check(stored, pool)
+                by_to = pool.submit(written, "relatives_by_to", stored["relatives"], SORTED["relatives_by_to"])
+                counted = pool.submit(lambda: counters(stored["facts"], stored["relatives"]).write.parquet(at("counters")))
+                totals = pool.submit(totals_of, stored["facts"], stored["relatives"])
+                hashed = {n: pool.submit(table_digest, df.select(*OWN.get(n, df.columns))) for n, df in stored.items()}
+                digests = {f"{n}_sha256": f.result() for n, f in hashed.items()}
+                by_to.result(), counted.result()
             sid = "sha256-" + hashlib.sha256("\n".join(digests.values()).encode()).hexdigest()[:16]
             if self._exists("snapshots", sid, "manifest.json"):
                 manifest = json.loads(self._read("snapshots", sid, "manifest.json")) | {"reused": True}
             else:
-                counters(stored["facts"], stored["relatives"]).write.parquet(at("counters"))
-                manifest = {"schema_version": SCHEMA_VERSION, "snapshot_id": sid, **digests, "checked": check, "source_count": stored["source_inventory"].count(), "created_at": began} | totals_of(stored["facts"], stored["relatives"])
+                manifest = {"schema_version": SCHEMA_VERSION, "snapshot_id": sid, **digests, "checked": check, "source_count": stored["source_inventory"].count(), "created_at": began} | totals.result()
                 manifest["bytes_on_disk"] = self._fs.getContentSummary(self._path(staging)).getLength()
                 self._write(json.dumps(manifest, sort_keys=True), staging, "manifest.json")
                 self._fs.mkdirs(self._path("snapshots"))
@@ -169,11 +175,13 @@ class Store:
         self._write(sid, "snapshots", "current")
         return manifest
 
-    def _check(self, stored: dict[str, DataFrame]) -> None:
-        for name, df in stored.items():
-            if duplicate_ids(df, KEYS[name]).limit(1).count():
+    def _check(self, stored: dict[str, DataFrame], pool: ThreadPoolExecutor) -> None:
+        twice = {n: pool.submit(lambda n=n: duplicate_ids(stored[n], KEYS[n]).limit(1).count()) for n in stored}
+        missing = pool.submit(lambda: orphan_edges(stored["facts"], stored["relatives"]).limit(1).count())
+        for name, found in twice.items():
+            if found.result():
                 raise StoreError(f"duplicate_{KEYS[name]}")
-        if orphan_edges(stored["facts"], stored["relatives"]).limit(1).count():
+        if missing.result():
             raise StoreError("relative_endpoint_missing")
 
     # reading
