@@ -1,12 +1,20 @@
-"""Scans of the file formats that the engine reads. All lazy; bad lines are told apart, never silently typed."""
+"""Scans of the file formats that the engine reads. All lazy but `gtest_xml`; bad lines are told apart, never silently typed."""
 
 from __future__ import annotations
 
+import re
+from collections import deque
+from collections.abc import Iterator
+from itertools import groupby, islice
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from factloom.functions.paths import matches_any
 from factloom.operators.logs import in_window, parse_lines
+from factloom.scratch import stage
 
 
 class CorruptSnapshot(ValueError):
@@ -99,27 +107,116 @@ def source_texts(files: DataFrame) -> DataFrame:
     return files.select("path", F.decode("content", "UTF-8").alias("text"))
 
 
-def gtest_xml(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(run_id, pos, suite, name, status, elapsed_ms, message) of gtest XML files; the run id is the file's name."""
+#: What every test case begins with, and what follows it in a case that is whole before the next one begins.
+_CASE = "<testcase"
+_WHOLE = r"(?s)^(?=[\s/>])(?:[^>\"'/]++|\"[^\"]*+\"|'[^']*+'|/(?!>))*+(?:/>|>.*?</testcase>)"
+
+
+def _case_end(text: str, quote: str, body: bool) -> tuple[int | None, str, bool]:
+    """Where a case ends that begins or goes on in `text`, or None; the quote that is open in its tag then, and whether the tag is over."""
+    at = 0
+    while not body:
+        found = re.compile(quote or "[>\"']").search(text, at)
+        if not found:
+            return None, quote, False
+        at = found.end()
+        if found[0] != ">":
+            quote = "" if quote else found[0]
+        elif text[at - 2] == "/":
+            return at, "", True
+        else:
+            body = True
+    end = text.find("</testcase>", at)
+    return (None if end < 0 else end + len("</testcase>")), "", True
+
+
+def _cut_cases(pieces: Iterator[str]) -> Iterator[str]:
+    """The cases of one file, from its text before the first case and after each start of one; a case may go on over several pieces."""
+    next(pieces, None)
+    back, ends = deque(), True
+    while (piece := back.popleft() if back else next(pieces, None)) is not None:
+        if not re.match(r"[\s/>]", piece):
+            continue
+        read = [_CASE + piece]
+        end, quote, body = _case_end(read[0], "", False)
+        plain = body
+        while end is None and (ends or not plain):
+            if (more := back.popleft() if back else next(pieces, None)) is None:
+                # it never ends, so what follows it is looked at again; if its own piece has the whole tag, no end tag follows at all
+                ends = ends and not plain
+                back.extend(r.removeprefix(_CASE) for r in read[1:])
+                break
+            read.append(_CASE + more)
+            end, quote, body = _case_end(read[-1], quote, body)
+        if end is not None:
+            yield "".join(read[:-1]) + read[-1][:end]
+
+
+def _cut_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(file, run_id, pos, text): the cases of files whose pieces come in order."""
+    pieces = (r for b in batches for r in b[["file", "run_id", "value"]].itertuples(index=False, name=None))
+    for (file, run), own in groupby(pieces, key=lambda r: r[:2]):
+        numbered = enumerate(_cut_cases(r[2] for r in own))
+        while some := list(islice(numbered, 1000)):
+            yield pd.DataFrame({"file": file, "run_id": run, "pos": [n for n, _ in some], "text": [t for _, t in some]})
+
+
+def _parsed_cases(cases: DataFrame) -> DataFrame:
+    """The columns of a test from `text`, null or empty where it is no XML; `sound` tells whether it is."""
     from factloom.operators.runs import elapsed_ms
 
-    whole = spark.read.text(path, wholetext=True).select(F.regexp_extract("_metadata.file_name", r"^(.*?)(\.xml)?$", 1).alias("run_id"), F.col("value").alias("x"))
     schema = (
         "testcase array<struct<_classname:string,_class:string,_name:string,_time:string,_status:string,"
         "failure:array<struct<_message:string,_VALUE:string>>,error:array<struct<_message:string,_VALUE:string>>,skipped:array<struct<_message:string,_VALUE:string>>>>"
     )
-    # Only the cases count, wherever they stand: they are cut out and wrapped, so that one flat schema reads them.
-    cases = F.regexp_extract_all("x", F.lit(r"(?s)<testcase\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*?(?:/>|>.*?</testcase>)"), F.lit(0))
-    rows = whole.select("run_id", F.from_xml(F.concat(F.lit("<c>"), F.array_join(cases, ""), F.lit("</c>")), schema).alias("d")).select("run_id", F.posexplode("d.testcase").alias("pos", "c"))
+    kept = [c for c in cases.columns if c != "text"]
+    rows = cases.select(*kept, F.from_xml(F.concat(F.lit("<c>"), "text", F.lit("</c>")), schema).alias("d")).select(*kept, F.explode_outer("d.testcase").alias("c"))
     failed, skipped = F.coalesce("c.failure", "c.error"), F.col("c.skipped")
     text = lambda a: F.coalesce(F.nullif(F.try_element_at(a, F.lit(1))["_message"], F.lit("")), F.try_element_at(a, F.lit(1))["_VALUE"], F.lit(""))
     status = F.when(failed.isNotNull(), "failed").when(skipped.isNotNull() | F.coalesce(F.col("c._status") == "notrun", F.lit(False)), "skipped").otherwise("passed")
     return rows.select(
-        "run_id", "pos", F.coalesce(F.nullif("c._classname", F.lit("")), F.nullif("c._class", F.lit("")), F.lit("")).alias("suite"), F.coalesce("c._name", F.lit("")).alias("name"), status.alias("status"),
+        *kept, F.col("c").isNotNull().alias("sound"), F.coalesce(F.nullif("c._classname", F.lit("")), F.nullif("c._class", F.lit("")), F.lit("")).alias("suite"), F.coalesce("c._name", F.lit("")).alias("name"), status.alias("status"),
         elapsed_ms(F.coalesce("c._time", F.lit("0"))).alias("elapsed_ms"), F.when(failed.isNotNull(), text(failed)).when(skipped.isNotNull(), text(skipped)).otherwise("").alias("message"),
     )
 
 
+def gtest_xml(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(run_id, pos, suite, name, status, elapsed_ms, message) of gtest XML files; the run id is the file's name.
+
+    Only the cases count, wherever they stand. Files are read in splits, cut
+    before each case, so that no task holds more than a case at a time; the
+    tests are staged, and their places follow from the numbers of cases in the
+    splits before. A file with a case that goes on beyond the start of another
+    one, or never ends, is cut in order by one task, which holds that case (if
+    it never ends, the rest of the file). A file with a case that is no XML
+    gives no rows: a report that can't be read tells no results.
+    """
+    run = F.regexp_extract("_metadata.file_name", r"^(.*?)(\.xml)?$", 1)
+    # the low 33 bits of this built-in are the row's place in its partition
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    pieces = spark.read.text(path, lineSep=_CASE).select(F.col("_metadata.file_path").alias("file"), run.alias("run_id"), F.col("_metadata.file_block_start").alias("block"), place.alias("i"), "value")
+    texts = pieces.select("file", "run_id", "block", "i", F.regexp_extract("value", _WHOLE, 0).alias("text")).withColumn("whole", F.col("text") != "").withColumn("text", F.concat(F.lit(_CASE), "text"))
+    tests = stage(_parsed_cases(texts), "gtest")
+
+    # The first piece of a file is what stands before its first case; it counts for nothing.
+    top = F.when(F.col("block") == 0, 1).otherwise(0)
+    odd, bad = ~F.col("whole"), F.col("whole") & ~F.col("sound")
+    counted = tests.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.count_if(odd).alias("odd"), F.count_if(bad).alias("bad"), F.min(F.struct("i", odd.cast("int").alias("odd"), bad.cast("int").alias("bad"))).alias("head"))
+    own = counted.select("file", "block", (F.col("n") - top).alias("n"), (F.col("odd") - top * F.col("head.odd")).alias("odd"), (F.col("bad") - top * F.col("head.bad")).alias("bad"), (F.col("head.i") + top).alias("start"))
+    of_file = Window.partitionBy("file")  # a row per split
+    before = F.coalesce(F.sum("n").over(of_file.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = stage(own.select("file", "block", (before - F.col("start")).alias("shift"), "start", F.sum("odd").over(of_file).alias("odd"), F.sum("bad").over(of_file).alias("bad")), "gtest-splits")
+    fields = ["suite", "name", "status", "elapsed_ms", "message"]
+    plain = F.broadcast(splits.where("odd = 0 and bad = 0").select("file", "block", "start", "shift"))  # a row per split
+    out = tests.join(plain, ["file", "block"]).where("i >= start").select("run_id", (F.col("i") + F.col("shift")).cast("int").alias("pos"), *fields)
+    torn = splits.where("odd > 0").select("file").distinct()
+    if torn.isEmpty():
+        return out
+    ordered = pieces.join(torn, "file", "left_semi").repartition("file").sortWithinPartitions("file", "block", "i").select("file", "run_id", "value")
+    rest = stage(_parsed_cases(ordered.mapInPandas(_cut_files, "file string, run_id string, pos int, text string")), "gtest-torn")
+    return out.unionByName(rest.join(rest.where("not sound").select("file").distinct(), "file", "left_anti").select("run_id", "pos", *fields))
+
+
 def listed_tests(lines: DataFrame, line: str = "value") -> DataFrame:
     """Number of cases in a test listing: its indented lines."""
     return lines.agg(F.count_if(F.col(line).rlike(r"^\s+\S")).alias("n_listed"))

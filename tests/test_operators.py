@@ -232,6 +232,28 @@ def test_runs(spark, tmp_path):
     assert rows(runs.keep_proven(old, new), "target_id", "proven") == [("a", True), ("b", False), ("n", False)]
 
 
+def test_gtest_xml_in_splits(spark, tmp_path):
+    """One large report is read by many tasks, cut between cases wherever the splits fall."""
+    cases = [f'<testcase classname="S" name="n{k}" time="{k / 1000}"' + ("/>", f'>\n<failure message="m &lt; {k}">at</failure></testcase>', ' status="run"><skipped message="why"/></testcase>')[k % 3] for k in range(200)]
+    want = [("big", k, "S", f"n{k}", ("passed", "failed", "skipped")[k % 3], k, ("", f"m < {k}", "why")[k % 3]) for k in range(200)]
+    (tmp_path / "big.xml").write_text(" \n<testsuites><testsuite name='>'>" + "\n".join(cases) + "</testsuite></testsuites>")
+    torn = ['<testcase name="a"><failure><![CDATA[<testcase name="in"/>]]></failure></testcase>', "<testcase name='b >'/>", "<testcases/>", '<testcase name="c"/>', '<testcase name="cut"><fail']
+    (tmp_path / "torn.xml").write_text("<testsuites>" + "".join(torn))
+    want += [("torn", 0, "", "a", "failed", 0, '<testcase name="in"/>'), ("torn", 1, "", "b >", "passed", 0, ""), ("torn", 2, "", "c", "passed", 0, "")]
+    (tmp_path / "bad.xml").write_text('<testcase name="a"/><testcase name="b & c"/><testcase name="d"/>')
+    settings = {"spark.sql.files.minPartitionNum": "8", "spark.sql.files.openCostInBytes": "1"}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        assert scans.gtest_xml(spark, str(tmp_path / "big.xml")).rdd.getNumPartitions() > 1
+        tests = scans.gtest_xml(spark, str(tmp_path / "*.xml"))
+        got = rows(tests, "run_id", "pos", "suite", "name", "status", "elapsed_ms", "message")
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
+    assert got == sorted(want, key=repr)
+
+
 def test_report_and_rounds(spark):
     events = spark.createDataFrame([(1, "m1", "r1", "T1", None), (2, "m1", "", "T2", None), (3, "m2", "r2", "", "T3"), (4, "m1", "r9", "T", None)], "event_pos int, match_id string, run_id string, task string, task_id string")
     table = spark.createDataFrame([("r1", "t", "failed", "done"), ("r2", "t", "passed", "done")], "run_id string, task_id string, overall string, state string")
