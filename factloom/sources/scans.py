@@ -135,7 +135,7 @@ def _cut_cases(pieces: Iterator[str]) -> Iterator[str]:
     next(pieces, None)
     back, ends = deque(), True
     while (piece := back.popleft() if back else next(pieces, None)) is not None:
-        if not re.match(r"[\s/>]", piece):
+        if re.match(r"[\w.:-]", piece):  # a longer name
             continue
         read = [_CASE + piece]
         end, quote, body = _case_end(read[0], "", False)
@@ -166,16 +166,16 @@ def _parsed_cases(cases: DataFrame) -> DataFrame:
     from factloom.operators.runs import elapsed_ms
 
     schema = (
-        "testcase array<struct<_classname:string,_class:string,_name:string,_time:string,_status:string,"
-        "failure:array<struct<_message:string,_VALUE:string>>,error:array<struct<_message:string,_VALUE:string>>,skipped:array<struct<_message:string,_VALUE:string>>>>"
+        "_classname string,_class string,_name string,_time string,_status string,failure array<struct<_message:string,_VALUE:string>>,"
+        "error array<struct<_message:string,_VALUE:string>>,skipped array<struct<_message:string,_VALUE:string>>,_corrupt_record string"
     )
     kept = [c for c in cases.columns if c != "text"]
-    rows = cases.select(*kept, F.from_xml(F.concat(F.lit("<c>"), "text", F.lit("</c>")), schema).alias("d")).select(*kept, F.explode_outer("d.testcase").alias("c"))
+    rows = cases.select(*kept, F.explode(F.array(F.from_xml("text", schema))).alias("c"))  # parsed once, whatever is taken of it
     failed, skipped = F.coalesce("c.failure", "c.error"), F.col("c.skipped")
     text = lambda a: F.coalesce(F.nullif(F.try_element_at(a, F.lit(1))["_message"], F.lit("")), F.try_element_at(a, F.lit(1))["_VALUE"], F.lit(""))
     status = F.when(failed.isNotNull(), "failed").when(skipped.isNotNull() | F.coalesce(F.col("c._status") == "notrun", F.lit(False)), "skipped").otherwise("passed")
     return rows.select(
-        *kept, F.col("c").isNotNull().alias("sound"), F.coalesce(F.nullif("c._classname", F.lit("")), F.nullif("c._class", F.lit("")), F.lit("")).alias("suite"), F.coalesce("c._name", F.lit("")).alias("name"), status.alias("status"),
+        *kept, F.col("c._corrupt_record").isNull().alias("sound"), F.coalesce(F.nullif("c._classname", F.lit("")), F.nullif("c._class", F.lit("")), F.lit("")).alias("suite"), F.coalesce("c._name", F.lit("")).alias("name"), status.alias("status"),
         elapsed_ms(F.coalesce("c._time", F.lit("0"))).alias("elapsed_ms"), F.when(failed.isNotNull(), text(failed)).when(skipped.isNotNull(), text(skipped)).otherwise("").alias("message"),
     )
 
